@@ -5,11 +5,13 @@ from __future__ import annotations
 from orrery.llm.mixing import op8_query
 from orrery.llm.sharding import op3_query
 from orrery.llm.simhash import op6_query
+from orrery.llm.toxicity import op7_query
 from orrery.llm.warc import op10_query
 
 QUERIES = {
     "op3_histogram_shards": op3_query,
     "op6_simhash": op6_query,
+    "op7_toxicity": op7_query,
     "op8_source_mix": op8_query,
     "op10_warc_zst": op10_query,
 }
