@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of the driver's, written to any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a reliable checkpoint in the shared folder.
 
