@@ -6,6 +6,7 @@ from orrery.llm.bpe import op1_query
 from orrery.llm.mixing import op8_query
 from orrery.llm.sharding import op3_query
 from orrery.llm.simhash import op6_query
+from orrery.llm.suffixes import op9_query
 from orrery.llm.toxicity import op7_query
 from orrery.llm.warc import op10_query
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_simhash": op6_query,
     "op7_toxicity": op7_query,
     "op8_source_mix": op8_query,
+    "op9_suffix_dedup": op9_query,
     "op10_warc_zst": op10_query,
 }
 
