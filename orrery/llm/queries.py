@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orrery.llm.bpe import op1_query
+from orrery.llm.minhash import op5_query
 from orrery.llm.mixing import op8_query
 from orrery.llm.sharding import op3_query
 from orrery.llm.simhash import op6_query
@@ -13,6 +14,7 @@ from orrery.llm.warc import op10_query
 QUERIES = {
     "op1_bpe": op1_query,
     "op3_histogram_shards": op3_query,
+    "op5_order_minhash": op5_query,
     "op6_simhash": op6_query,
     "op7_toxicity": op7_query,
     "op8_source_mix": op8_query,
