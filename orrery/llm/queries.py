@@ -9,10 +9,12 @@ from orrery.llm.sharding import op3_query
 from orrery.llm.simhash import op6_query
 from orrery.llm.suffixes import op9_query
 from orrery.llm.toxicity import op7_query
+from orrery.llm.vectors import op2_query
 from orrery.llm.warc import op10_query
 
 QUERIES = {
     "op1_bpe": op1_query,
+    "op2_vector_graph": op2_query,
     "op3_histogram_shards": op3_query,
     "op5_order_minhash": op5_query,
     "op6_simhash": op6_query,
