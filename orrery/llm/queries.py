@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orrery.llm.bpe import op1_query
+from orrery.llm.licenses import op4_query
 from orrery.llm.minhash import op5_query
 from orrery.llm.mixing import op8_query
 from orrery.llm.sharding import op3_query
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_bpe": op1_query,
     "op2_vector_graph": op2_query,
     "op3_histogram_shards": op3_query,
+    "op4_license_scan": op4_query,
     "op5_order_minhash": op5_query,
     "op6_simhash": op6_query,
     "op7_toxicity": op7_query,
