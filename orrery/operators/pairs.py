@@ -190,4 +190,6 @@ def pairs(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box |
         j = binning.pi.index(F.col("along"), squared=not box)
     else:
         j = F.lit(0)
-    return kept.select(binning.s.index(F.col("s2"), squared=True).cast("int").alias("s_idx"), j.cast("int").alias("j_idx"), "w")
+    # never null: else joins on these keys push a test of all that arithmetic into the range condition
+    known = [F.coalesce(c.cast("int"), F.lit(-1)).alias(n) for c, n in ((binning.s.index(F.col("s2"), squared=True), "s_idx"), (j, "j_idx"))]
+    return kept.select(*known, "w")
