@@ -14,8 +14,8 @@ from orrery.llm.common import Staging, WordHashes, components, cut, join_small,
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a text, and the least edit similarity of a link.
 K, MINIMA, SKETCHES, SIMILARITY = 5, 3, 20, 0.8
-#: A bucket of at most so many texts is compared pair by pair; a larger one by its leader first.
-SMALL = 8
+#: A bucket of at most so many texts is compared pair by pair, a larger one with its leader; leaders at once in later rounds.
+SMALL, LEADERS = 8, 8
 
 _ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
@@ -143,13 +143,15 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     agree in one of SKETCHES ordered sketches; classes are the connected components, class_id the least id in one.
     Equal texts are merged before all else, by hash aggregation.
 
-    Buckets never yield all pairs: in a bucket above SMALL texts every text is compared with the bucket's leader (its
-    least key) and leaves the bucket if alignment confirms the link. What is left is compared again, the next least
-    key leading, until no bucket has two texts, so a bucket of any size is worked off without loss. After the second
-    round texts that meet in several large buckets meet in the buckets of each two of them instead, which
-    parts texts that only have a passage in common. Pairs once compared are not compared again.
+    Buckets never yield all pairs: in a bucket above SMALL texts every text is compared with the bucket's leader,
+    drawn by a hash of bucket and text, and leaves the bucket if alignment confirms the link. What is left is compared
+    again with new leaders until no bucket has two texts, so none is capped. After the second round texts that meet in
+    several large buckets meet in the buckets of each two of them instead, which parts texts that only have a passage
+    in common. Pairs once compared are not compared again. Each bucket draws its own leader, so a text that its class
+    only reaches through another member meets members as leaders in the other buckets they share.
     """
-    stage = Staging(df.sparkSession)
+    spark = df.sparkSession
+    stage = Staging(spark)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,26 +175,30 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
         wanted = stage.table(members.select("key").distinct().join(texts, "key"))
         chosen = join_small(rows.withColumnRenamed("key", "k"), wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
         sequences = stage.table(chosen.select("key", "text").mapInArrow(sequence, "key long, words binary").dropDuplicates(["key"]))
-        links: list[DataFrame] = []
-        tested: list[DataFrame] = []
+        links = tested = stage.table(spark.createDataFrame([], "a long, b long"))
         level = 0
         for turn in range(rounds):
-            sizes = stage.table(members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-            small = members.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket")
+            # later rounds see few texts, so they may compare more at once: larger buckets pair by pair, others with LEADERS
+            most, leaders = (SMALL, 1) if turn < 2 else (SMALL * LEADERS, LEADERS)
+            sizes = stage.table(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+            small = members.join(sizes.where(F.col("n") <= most).select("bucket"), "bucket")
             within = small.select("bucket", F.col("key").alias("a")).join(small.select("bucket", F.col("key").alias("b")), "bucket").where("a < b").select("a", "b")
-            led = stage.table(members.join(sizes.where(F.col("n") > SMALL), "bucket").where("key <> leader").select("bucket", "leader", "key"))
-            pairs = within.union(led.select(F.col("leader").alias("a"), F.col("key").alias("b"))).distinct()
-            for t in tested:
-                pairs = pairs.join(t, ["a", "b"], "left_anti")
-            pairs = stage.table(pairs)
-            tested.append(pairs)
-            links.append(_links(stage, pairs, sequences, similarity))
+            large = stage.table(members.join(sizes.where(F.col("n") > most).select("bucket"), "bucket").select("bucket", "key", F.xxhash64("bucket", "key").alias("h")))
+            least = large.groupBy("bucket", F.pmod(F.col("h"), F.lit(leaders)).alias("s")).agg(F.min(F.struct("h", "key")).alias("x")).select("bucket", F.col("x.key").alias("leader"))
+            led = stage.table(large.join(least, "bucket").select("bucket", "leader", "key"))
+            compared = led.where("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
+            pairs = within.union(compared).distinct()
+            pairs = stage.table(pairs.join(tested, ["a", "b"], "left_anti"))
+            confirmed = stage.table(links.union(_links(stage, pairs, sequences, similarity)))
+            more = stage.table(tested.union(pairs))
+            for old in (links, tested):
+                stage.drop(old)
+            links, tested = confirmed, more
             if led.isEmpty():
                 break
-            confirmed = links[0]
-            for x in links[1:]:
-                confirmed = confirmed.union(x)
-            rest = stage.table(led.join(confirmed.select(F.col("a").alias("leader"), F.col("b").alias("key")), ["leader", "key"], "left_anti").select("bucket", "key"))
+            both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("leader"), F.col("b").alias("key"))
+            gone = led.join(both, ["leader", "key"]).select("bucket", "key").union(led.where("leader = key").select("bucket", "key")).distinct()
+            rest = stage.table(large.select("bucket", "key").join(gone, ["bucket", "key"], "left_anti"))
             if turn >= 1 and level < 2:
                 alone = rest.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
                 rest = _combined(rest).union(rest.join(alone, "key").select("bucket", "key"))
@@ -200,10 +206,7 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
             members = stage.table(_shared(rest))
             if members.isEmpty():
                 break
-        every = links[0]
-        for x in links[1:]:
-            every = every.union(x)
-        roots = components(every)
+        roots = components(links)
         classed = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
         named = stage.table(classed.where("root <> key").select("root").distinct().withColumnRenamed("root", "r"))
         groups = classed.join(named, F.col("root") == F.col("r")).groupBy("root").agg(F.min("first").alias("least"))
