@@ -171,7 +171,7 @@ def pairs(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box |
     keys = ["c0", "c1", "c2"]
     if salt > 1:
         a = a.withColumn("salt", F.pmod(F.xxhash64("a_id"), F.lit(salt)))
-        b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("long"))
+        b = b.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
         keys.append("salt")
     s2, along = _separation(binning, box)
     condition = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
