@@ -74,7 +74,7 @@ def thresholds(narrow: DataFrame, targets: DataFrame, stage: Staging) -> DataFra
     # a source whose rest is at or above all its sizes takes them all: it has no boundary bucket
     joined = plan.join(found, F.col("source").eqNullSafe(F.col("s")), "left")
     everything = F.when(rest >= F.greatest(F.col("source_size"), F.lit(1)), F.lit(1 << HASH_BITS)).otherwise(F.lit(0))
-    return joined.select("source", "source_size", "weight", "target", "repeats", F.coalesce("at", everything).cast("long").alias("limit"))
+    return joined.select("source", "source_size", "weight", "target", "repeats", F.when(rest > 0, F.coalesce("at", everything)).otherwise(F.lit(0)).cast("long").alias("limit"))
 
 
 def mix(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_repeats: float = 2.0) -> DataFrame:
