@@ -14,11 +14,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+#: Rows that a Python worker is handed at once, where the session has Spark's default: texts make 10 000 rows heavy.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) >= 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The session's spark.checkpoint.dir; only where it is unset (tests on one machine) a folder of our own.
     """
+    bounded_batches(spark)
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
@@ -142,7 +152,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word to 64-bit hash, remembered; forgets all it holds when it grows past its bound."""
 
-    bound = 1_000_000
+    bound = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.bound:
