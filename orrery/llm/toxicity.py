@@ -208,7 +208,7 @@ def _select(sample: DataFrame) -> dict[str, int]:
     a, b = F.col("a") + F.lit(0.0), F.col("n") - F.col("a")
     odds = F.log((a + 0.5) / (F.lit(float(pos)) - a + 0.5)) - F.log((b + 0.5) / (F.lit(float(neg)) - b + 0.5))
     expected = F.col("n") * F.lit(pos / all_)
-    strong = counted.where((F.col("word") != "") & (F.col("a") >= max(2, round(pos / 500)))).withColumn("odds", odds).withColumn("chi", (a - expected) * (a - expected) / expected).where("odds >= 2.5 and chi >= 8")
+    strong = counted.where((F.col("word") != "") & (F.col("a") >= max(2, round(pos / 250)))).withColumn("odds", odds).withColumn("chi", (a - expected) * (a - expected) / expected).where("odds >= 2.5 and chi >= 8")
     return {r["word"]: i for i, r in enumerate(strong.orderBy(F.desc("chi"), "word").limit(MAX_TERMS).select("word").collect())}
 
 
@@ -257,7 +257,7 @@ def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str
     """A model from labelled rows whose crc32(id as text) mod 5 is not 0.
 
     Terms are words that separate the labels on the sample (log odds of at least 2.5, chi-square of at least 8, in at
-    least two, and one in 500, of the different positive texts; the MAX_TERMS strongest are kept). Their document
+    least two, and one in 250, of the different positive texts; the MAX_TERMS strongest are kept). Their document
     frequencies are counted over the whole table. Examples are the sample's texts as vectors of kept terms, equal
     vectors merged. A first model of four fifths of the sample scores the last fifth, to which the curve that turns
     votes into scores is fitted; the model returned has all of the sample.
