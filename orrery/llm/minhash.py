@@ -128,14 +128,6 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket").distinct()
 
 
-def _combined(rest: DataFrame) -> DataFrame:
-    """A bucket for each two buckets of a key."""
-    lists = rest.groupBy("key").agg(F.array_sort(F.collect_set("bucket")).alias("all")).where(F.size("all") > 1)
-    first = lists.select("key", "all", F.posexplode("all").alias("n", "x"))
-    pairs = first.select("key", "x", F.explode(F.slice("all", F.col("n") + 2, F.greatest(F.lit(0), F.size("all") - F.col("n") - 1))).alias("y"))
-    return pairs.select(F.xxhash64("x", "y").alias("bucket"), "key")
-
-
 def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, rounds: int = 1000) -> DataFrame:
     """Classes of near copies: (key long, class_id) per different text, key a hash of the text.
 
@@ -143,12 +135,12 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     agree in one of SKETCHES ordered sketches; classes are the connected components, class_id the least id in one.
     Equal texts are merged before all else, by hash aggregation.
 
-    Buckets never yield all pairs: in a bucket above SMALL texts every text is compared with the bucket's leader,
-    drawn by a hash of bucket and text, and leaves the bucket if alignment confirms the link. What is left is compared
-    again with new leaders until no bucket has two texts, so none is capped. After the second round texts that meet in
-    several large buckets meet in the buckets of each two of them instead, which parts texts that only have a passage
-    in common. Pairs once compared are not compared again. Each bucket draws its own leader, so a text that its class
-    only reaches through another member meets members as leaders in the other buckets they share.
+    A bucket is left once all its texts are of one class or all its pairs across classes are tested. In a bucket
+    above SMALL texts every text is compared with the bucket's leader, first one drawn by a hash of bucket and text,
+    then those that have most links; only leaders, whose pairs are then all tested, leave it.
+    Leaders at once double from round to round, so a bucket ends after about as many
+    rounds as its size has binary digits, with every pair compared where all its texts are unlike. Pairs compared
+    before, of one class or of lengths too different are not compared.
     """
     spark = df.sparkSession
     stage = Staging(spark)
@@ -157,9 +149,10 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            found = [order_sketches(hashes.of(t.as_py().split())) for t in batch.column("text")]
-            keys = np.repeat(batch.column("key").to_numpy(), SKETCHES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64()), pa.array(keys, pa.int64())], ["bucket", "key"])
+            texts = [hashes.of(t.as_py().split()) for t in batch.column("text")]
+            found = [order_sketches(x) for x in texts]
+            keys, sizes = np.repeat(batch.column("key").to_numpy(), SKETCHES), np.repeat([len(x) for x in texts], SKETCHES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["bucket", "key", "n"])
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -169,44 +162,46 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
                 words = [hashes.of(t.as_py().split()).tobytes() for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(words, pa.binary())], ["key", "words"])
 
+    def may_link(x: str, y: str):
+        longer = F.greatest(f"{x}.n", f"{y}.n")
+        return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (F.least(f"{x}.n", f"{y}.n") >= longer - F.floor((1 - similarity) * longer + 1e-9))
+
     try:
         texts = stage.table(rows.groupBy("key").agg(F.min("id").alias("first")))
-        members = stage.table(_shared(stage.table(rows.select("key", "text").mapInArrow(sketch, "bucket long, key long"))))
+        members = stage.table(_shared(stage.table(rows.select("key", "text").mapInArrow(sketch, "bucket long, key long, n long"))))
         wanted = stage.table(members.select("key").distinct().join(texts, "key"))
         chosen = join_small(rows.withColumnRenamed("key", "k"), wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
         sequences = stage.table(chosen.select("key", "text").mapInArrow(sequence, "key long, words binary").dropDuplicates(["key"]))
         links = tested = stage.table(spark.createDataFrame([], "a long, b long"))
-        level = 0
+        roots = components(links)
         for turn in range(rounds):
-            # later rounds see few texts, so they may compare more at once: larger buckets pair by pair, others with LEADERS
-            most, leaders = (SMALL, 1) if turn < 2 else (SMALL * LEADERS, LEADERS)
-            sizes = stage.table(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-            small = members.join(sizes.where(F.col("n") <= most).select("bucket"), "bucket")
-            within = small.select("bucket", F.col("key").alias("a")).join(small.select("bucket", F.col("key").alias("b")), "bucket").where("a < b").select("a", "b")
-            large = stage.table(members.join(sizes.where(F.col("n") > most).select("bucket"), "bucket").select("bucket", "key", F.xxhash64("bucket", "key").alias("h")))
-            least = large.groupBy("bucket", F.pmod(F.col("h"), F.lit(leaders)).alias("s")).agg(F.min(F.struct("h", "key")).alias("x")).select("bucket", F.col("x.key").alias("leader"))
-            led = stage.table(large.join(least, "bucket").select("bucket", "leader", "key"))
-            compared = led.where("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
-            pairs = within.union(compared).distinct()
-            pairs = stage.table(pairs.join(tested, ["a", "b"], "left_anti"))
+            # later rounds see few texts, so they may compare more at once: larger buckets pair by pair, others with more leaders
+            most, leaders = (SMALL, 1) if turn < 2 else (SMALL * LEADERS, LEADERS << min(turn - 2, 40))
+            degrees = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("degree"))
+            facts = stage.table(roots.join(degrees, F.col("node") == F.col("a")).select(F.col("node").alias("key"), "root", "degree"))
+            placed = stage.table(members.select("bucket", "key", "n").join(facts, "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
+            sizes = stage.table(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket", "size"))
+            small = placed.join(sizes.where(F.col("size") <= most).select("bucket"), "bucket")
+            within = small.alias("p").join(small.alias("q"), F.col("p.bucket") == F.col("q.bucket")).where(F.col("p.key") < F.col("q.key")).where(may_link("p", "q")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
+            large = stage.table(placed.join(sizes.where(F.col("size") > most).select("bucket"), "bucket").withColumn("h", F.xxhash64("bucket", "key")))
+            first = large.groupBy("bucket", F.pmod(F.col("h"), F.lit(leaders)).alias("s")).agg(F.min(F.struct((-F.col("degree")).alias("d"), "h", "key", "root", "n")).alias("x"))
+            lead = stage.table(first.select("bucket", F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.col("x.n").alias("n")))
+            led = large.alias("p").join(lead.alias("q"), F.col("p.bucket") == F.col("q.bucket")).where(may_link("p", "q"))
+            compared = led.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"))
+            pairs = stage.table(within.union(compared).distinct().join(tested, ["a", "b"], "left_anti"))
             confirmed = stage.table(links.union(_links(stage, pairs, sequences, similarity)))
             more = stage.table(tested.union(pairs))
-            for old in (links, tested):
+            for old in (links, tested, placed, facts):
                 stage.drop(old)
             links, tested = confirmed, more
-            if led.isEmpty():
-                break
-            both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("leader"), F.col("b").alias("key"))
-            gone = led.join(both, ["leader", "key"]).select("bucket", "key").union(led.where("leader = key").select("bucket", "key")).distinct()
-            rest = stage.table(large.select("bucket", "key").join(gone, ["bucket", "key"], "left_anti"))
-            if turn >= 1 and level < 2:
-                alone = rest.groupBy("key").agg(F.count("*").alias("n")).where("n = 1").select("key")
-                rest = _combined(rest).union(rest.join(alone, "key").select("bucket", "key"))
-                level += 1
-            members = stage.table(_shared(rest))
+            roots = components(links)
+            members = stage.table(large.select("bucket", "key", "n").join(lead.select("bucket", "key"), ["bucket", "key"], "left_anti"))
+            # a bucket of one class has nothing left to test
+            where = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", F.coalesce("root", "key").alias("root"))
+            open_buckets = where.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+            members = stage.table(members.join(open_buckets, "bucket"))
             if members.isEmpty():
                 break
-        roots = components(links)
         classed = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
         named = stage.table(classed.where("root <> key").select("root").distinct().withColumnRenamed("root", "r"))
         groups = classed.join(named, F.col("root") == F.col("r")).groupBy("root").agg(F.min("first").alias("least"))

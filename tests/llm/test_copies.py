@@ -86,6 +86,38 @@ def test_large_buckets(spark):
     assert all(got[i] == 0 for i in range(60)) and all(got[i] == i for i in range(60, 120))
 
 
+def linked(texts):
+    """Which pairs are similar and agree in a sketch."""
+    h = common.WordHashes()
+    seq = [h.of(t.split()) for t in texts]
+    held = defaultdict(set)
+    for i, x in enumerate(seq):
+        for y in minhash.order_sketches(x):
+            held[y].add(i)
+    pairs = {(i, j) for v in held.values() for i in v for j in v if i < j}
+    return {(i, j) for i, j in pairs if minhash.similar(seq[i], seq[j])}, seq
+
+
+def near_ids(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x.doc_id: x.class_id for x in minhash.near_dedup(df).select("row.doc_id", "class_id").collect()}
+
+
+def test_master_and_copies(spark):
+    r = random.Random(9)
+    base, out = words(1, 300).split(), []
+    for i in range(400):  # each is like the master, few like each other
+        copy = list(base)
+        for p in range(2):
+            at = r.randrange(275)
+            copy[at : at + 24] = [f"e{i}x{p}y{k}" for k in range(24)]
+        out.append(" ".join(copy))
+    out.append(" ".join(base))
+    pairs, _ = linked(out)
+    got = near_ids(spark, out)
+    assert len(pairs) > 350 and [(i, j) for i, j in pairs if got[i] != got[j]] == []
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(150), r.randrange(150)) for _ in range(110)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7)]
