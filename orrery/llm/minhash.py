@@ -16,6 +16,8 @@ from orrery.llm.common import Staging, WordHashes, components, cut, join_small,
 K, MINIMA, SKETCHES, SIMILARITY = 5, 3, 20, 0.8
 #: A bucket of at most so many texts is compared pair by pair, a larger one with its leader; leaders at once in later rounds.
 SMALL, LEADERS = 8, 8
+#: Bins in which pairs of words are counted, by the first bits of their hash.
+BINS, _BIN = 1 << 16, np.uint64(48)
 
 _ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 
@@ -128,6 +130,56 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket").distinct()
 
 
+def prefix_grams(words: np.ndarray, least: float, counts: np.ndarray | None = None) -> np.ndarray:
+    """The rarest pairs of neighbouring words of a text, so many that two texts of similarity `least` share one of them.
+
+    An edit changes at most two of a text's n + 1 pairs (its ends count as words), so texts within `most` edits have
+    longer + 1 - 2 * most of them in common, equal ones told apart by their number of occurrence; by the prefix
+    principle one of these is among the first n + 2 less that number, in any order that holds for all texts. Here
+    those are first that share their bin of `counts` with the fewest. Without counts, all pairs. Needs least > 0.5.
+    """
+    with np.errstate(over="ignore"):
+        grams = rolling(np.concatenate([np.array([1], np.uint64), words, np.array([2], np.uint64)]), 2)
+        by = np.argsort(grams, kind="stable")
+        same = grams[by]
+        start = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+        nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+        labelled = mix64(same + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    if counts is None:
+        return labelled
+    n = len(words)
+    longer = np.arange(n, int(n / least) + 2)
+    common = int((longer + 1 - 2 * ((1 - least) * longer + 1e-9).astype(np.int64)).min())
+    return labelled[np.lexsort((labelled, counts[(labelled >> _BIN).astype(np.int64)]))[: n + 2 - common]]
+
+
+def _split(stage: Staging, keys: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """Buckets (bucket, key, n) by prefix_grams of the given texts, in which all their pairs of similarity `least` meet."""
+    texts = stage.table(sequences.join(keys, "key"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for x in batch.column("words"):
+                np.add.at(held, (prefix_grams(np.frombuffer(x.as_buffer(), np.uint64), least) >> _BIN).astype(np.int64), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["bin", "n"])
+
+    counts = np.zeros(BINS, np.int64)
+    for r in texts.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["bin"]] = r["n"]
+    shared = keys.sparkSession.sparkContext.broadcast(counts)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x in zip(batch.column("key").to_pylist(), batch.column("words"), strict=True):
+                words = np.frombuffer(x.as_buffer(), np.uint64)
+                found = prefix_grams(words, least, shared.value).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), key), pa.int64()), pa.array(np.full(len(found), len(words)), pa.int64())], ["bucket", "key", "n"])
+
+    return stage.table(_shared(stage.table(texts.mapInArrow(prefix, "bucket long, key long, n long"))))
+
+
 def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, rounds: int = 1000) -> DataFrame:
     """Classes of near copies: (key long, class_id) per different text, key a hash of the text.
 
@@ -137,8 +189,10 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
 
     A bucket is left once all its texts are of one class or all its pairs across classes are tested. In a bucket
     above SMALL texts every text is compared with the bucket's leader, first one drawn by a hash of bucket and text,
-    then those that have most links; only leaders, whose pairs are then all tested, leave it.
-    Leaders at once double from round to round, so a bucket ends after about as many
+    then those that have most links; only leaders, whose pairs are then all tested, leave it. After the second round
+    the texts that are left are dealt anew by their rarest pairs of neighbouring words (prefix_grams), of which linked
+    texts share at least one: this parts texts that only have a passage in common, loses no link and may add links of
+    texts that agree in no sketch. Leaders at once double from round to round, so a bucket ends after about as many
     rounds as its size has binary digits, with every pair compared where all its texts are unlike. Pairs compared
     before, of one class or of lengths too different are not compared.
     """
@@ -175,6 +229,8 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
         links = tested = stage.table(spark.createDataFrame([], "a long, b long"))
         roots = components(links)
         for turn in range(rounds):
+            if turn == 2 and similarity > 0.5:
+                members = _split(stage, members.select("key").distinct(), sequences, similarity)
             # later rounds see few texts, so they may compare more at once: larger buckets pair by pair, others with more leaders
             most, leaders = (SMALL, 1) if turn < 2 else (SMALL * LEADERS, LEADERS << min(turn - 2, 40))
             degrees = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("degree"))

@@ -118,6 +118,38 @@ def test_master_and_copies(spark):
     assert len(pairs) > 350 and [(i, j) for i, j in pairs if got[i] != got[j]] == []
 
 
+def test_template_in_pairs(spark):
+    r = random.Random(10)
+    base, out = words(2, 200).split(), []
+    for i in range(200):  # texts of one template that are unlike each other but for their twins
+        copy = list(base)
+        for n, at in enumerate(r.sample(range(0, 200, 20), 5)):
+            copy[at : at + 14] = [f"t{i}x{n}y{k}" for k in range(14)]
+        own = [k for k, w in enumerate(copy) if w != base[k]]
+        twin = list(copy)
+        for k in [*own[2::5], *r.sample(range(200), 12)]:
+            twin[k] = f"twin{i}x{k}"
+        out += [" ".join(copy), " ".join(twin)]
+    pairs, seq = linked(out)
+    got = near_ids(spark, out)
+    assert len(pairs) > 50 and [(i, j) for i, j in pairs if got[i] != got[j]] == []
+    assert all(minhash.similar(seq[i], seq[i + 1]) or got[i] != got[i + 1] for i in range(0, 400, 2))
+
+
+def test_prefix_grams():
+    r, n = random.Random(11), 0
+    counts = np.random.default_rng(1).integers(0, 9, minhash.BINS)
+    h = common.WordHashes()
+    for _ in range(4000):
+        a = [f"v{r.randrange(12)}" for _ in range(r.randrange(40))]
+        b = [x for x in (y if r.random() > 0.1 else f"v{r.randrange(12)}" for y in a) if r.random() > 0.05]
+        x, y = h.of(a), h.of(b)
+        if minhash.similar(x, y):
+            n += 1
+            assert set(minhash.prefix_grams(x, 0.8, counts).tolist()) & set(minhash.prefix_grams(y, 0.8, counts).tolist())
+    assert n > 1000
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(150), r.randrange(150)) for _ in range(110)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7)]
