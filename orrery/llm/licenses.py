@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,6 +68,8 @@ class Matcher:
         known = {w for texts in templates.values() for t in texts for w in terms(t)}
         self.idf = {w: math.log((rows + 1) / (n.get(w, 0) + 1)) + 1 for w in known}
         self.names, self.postings = [], {}
+        #: A run of lines is followed to twice the words of the longest template.
+        self.longest = 2 * max(len(terms(t)) for texts in templates.values() for t in texts)
         vectors = []
         for name in sorted(templates):
             for text in templates[name]:
@@ -90,7 +92,7 @@ class Matcher:
         get, unseen = self.idf.get, self.unseen
         return {w: (1 + math.log(c)) * get(w, unseen) for w, c in counts.items()}
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
+    def best(self, words: Sequence[str]) -> tuple[float, str] | None:
         """The largest cosine of at least `least`, and its licence; ties by the licence's name."""
         if self.telling.isdisjoint(words):
             return None
@@ -103,8 +105,23 @@ class Matcher:
         found = [(round(s / size, 12), self.names[i]) for i, s in scores.items() if s / size >= self.least]
         return min(found, key=lambda f: (-f[0], f[1])) if found else None
 
+    def runs(self, lines: list[list[str]]) -> Iterator[list[str]]:
+        """Runs of two or more lines that may match: first and last hold a template's word, as others only lower a cosine."""
+        known = [not self.idf.keys().isdisjoint(line) for line in lines]
+        for i, line in enumerate(lines):
+            run = list(line)
+            for j in range(i + 1, len(lines) if known[i] else 0):
+                run += lines[j]
+                if len(run) > self.longest:
+                    break
+                if known[j]:
+                    yield run
+
     def scan(self, text: str | None) -> tuple[float, str, bool] | None:
-        """(cosine, licence, whether the text as a whole matches), from the whole text and from each of its lines."""
+        """(cosine, licence, whether the text as a whole matches), from the whole text, its lines and runs of lines.
+
+        Comment marks and empty lines are no words, so a notice wrapped over commented lines is a run.
+        """
         if not text:
             return None
         lines = [w for w in map(terms, text.split("\n")) if w]
@@ -112,7 +129,7 @@ class Matcher:
         if self.telling.isdisjoint(every):
             return None
         whole = self.best(every)
-        found = [f for f in (self.best(line) for line in lines) if f]
+        found = [f for f in map(self.best, (*lines, *map(tuple, self.runs(lines)))) if f]
         if whole:
             found.append(whole)
         return (*min(found, key=lambda f: (-f[0], f[1])), whole is not None) if found else None
@@ -137,7 +154,7 @@ def _counts(df: DataFrame, words: set[str]) -> tuple[dict[str, int], int]:
 def scan_licenses(df: DataFrame, *, text_col: str = "text", path_col: str = "path", least: float = COSINE, headers_declare: bool = False) -> DataFrame:
     """(row struct, license, cosine double, origin, declared_in) of every row.
 
-    origin `file`: the whole text is a template; `header`: a line of it is; `inherited`: neither, but the nearest
+    origin `file`: the whole text is a template; `header`: a line or run of lines of it is; `inherited`: neither, but the nearest
     directory above the row's path holds a licence file (a `file` row, or a row named LICENSE, COPYING or NOTICE with
     any match; with headers_declare also rows with a header): its licence, the most frequent where it has several,
     then the first by name, with the directory in declared_in; else `none`, all else null. Document frequencies are

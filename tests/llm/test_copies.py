@@ -1,6 +1,7 @@
 """Near copies, repeats, vectors, toxicity, licences and the pipeline."""
 
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -293,6 +294,15 @@ def test_licenses(spark):
     assert down["a/b/x.txt"] == "GPL-3.0" and licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_wrapped_headers():
+    m = licenses.Matcher({"the": 900, "license": 30, "under": 200}, 1000)
+    for name, mark in (("MIT", "# "), ("GPL-3.0", " * "), ("BSD-3-Clause", "// "), ("MPL-2.0", "-- ")):
+        header = "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name][1], 60))
+        got = m.scan(f"{mark}Copyright someone\n{header}\n\n{words(1, 300)}")
+        assert got and got[1:] == (name, False) and got[0] > 0.95
+    assert m.scan("\n".join(textwrap.wrap(words(2, 300), 60))) is None
+
+
 def test_matcher_skips_nothing():
     m = licenses.Matcher({"the": 900, "license": 30, "under": 200}, 1000)
     every = licenses.Matcher({"the": 900, "license": 30, "under": 200}, 1000)
