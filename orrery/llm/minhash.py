@@ -194,7 +194,7 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     texts share at least one: this parts texts that only have a passage in common, loses no link and may add links of
     texts that agree in no sketch. Leaders at once double from round to round, so a bucket ends after about as many
     rounds as its size has binary digits, with every pair compared where all its texts are unlike. Pairs compared
-    before, of one class or of lengths too different are not compared.
+    before, of one class or of lengths too different are not compared. RuntimeError if `rounds` do not suffice.
     """
     spark = df.sparkSession
     stage = Staging(spark)
@@ -258,6 +258,8 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
             members = stage.table(members.join(open_buckets, "bucket"))
             if members.isEmpty():
                 break
+        else:
+            raise RuntimeError(f"near_classes did not settle in {rounds} rounds")
         classed = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
         named = stage.table(classed.where("root <> key").select("root").distinct().withColumnRenamed("root", "r"))
         groups = classed.join(named, F.col("root") == F.col("r")).groupBy("root").agg(F.min("first").alias("least"))

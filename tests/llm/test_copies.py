@@ -151,6 +151,12 @@ def test_prefix_grams():
     assert n > 1000
 
 
+def test_rounds_run_out(spark):
+    df = spark.createDataFrame([(i, f"{PASSAGE} {words(500 + i, 25)}") for i in range(40)], "doc_id long, text string")
+    with pytest.raises(RuntimeError):
+        minhash.near_classes(df, rounds=1)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(150), r.randrange(150)) for _ in range(110)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7)]
