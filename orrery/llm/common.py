@@ -101,18 +101,37 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def different_texts(stage: Staging, rows: DataFrame):
+    """The different texts of a table (id, text) as a table (key long, first, last: least and greatest id), and the key of a text column.
+
+    A key is a 64-bit hash; texts are told apart by 128 bits, and where two texts share a key, both get another one.
+    """
+    plain, second = lambda t: F.xxhash64(t), lambda t: F.xxhash64(F.lit(1), t)
+    found = stage.table(rows.select(plain("text").alias("key"), second(F.col("text")).alias("check"), "id").groupBy("key", "check").agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    clashes = [r["key"] for r in found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").limit(1001).collect()]
+    if not clashes:
+        return found.select("key", "first", "last"), plain
+    if len(clashes) > 1000:
+        raise RuntimeError("more than 1000 pairs of texts share a 64-bit hash")
+    again = lambda key, check: F.when(key.isin(clashes), F.xxhash64(key, check)).otherwise(key)
+    key_of = lambda t: again(plain(t), second(F.col(t) if isinstance(t, str) else t))
+    return found.select(again(F.col("key"), F.col("check")).alias("key"), "first", "last"), key_of
+
+
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of undirected edges (a long, b long): (node long, root long), root the smallest node.
 
-    Alternates large-star and small-star over tables in the shared folder until nothing changes. Either step keeps
-    the number of edges, and a node with very many neighbours meets them by hash aggregation and, in the join, behind
-    AQE's skew split: no group is collected into one task. Only nodes that have an edge get a row.
+    Alternates large-star and small-star over tables in the shared folder until every node points at one root. Either
+    step keeps the number of edges, and a node with very many neighbours meets them by hash aggregation and, in the
+    join, behind AQE's skew split: no group is collected into one task. The rounds grow with the square of the
+    logarithm of the nodes at most; max_rounds is far beyond. Only nodes that have an edge get a row.
     """
     stage = Staging(edges.sparkSession)
     now = stage.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     try:
-        before = None
         for _ in range(max_rounds):
+            if now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and now.select(F.col("b").alias("a")).distinct().join(now, "a", "left_semi").isEmpty():
+                break
             both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
             large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -121,16 +140,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             small = held.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b")
             new = stage.table(small.distinct())
             stage.drop(held)
-            state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
             stage.drop(now)
             now = new
-            if state == before:
-                break
-            before = state
         else:
             raise RuntimeError("components did not settle")
-        roots = now.groupBy("a").agg(F.min("b").alias("root"))
-        return cut(roots.select(F.col("a").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct()))
+        return cut(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
     finally:
         stage.close()
 

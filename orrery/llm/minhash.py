@@ -3,58 +3,91 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, WordHashes, components, cut, join_small, mix64, packed, rolling
-
-#: Words of a k-mer, k-mers of a sketch, sketches of a text, and the least edit similarity of a link.
-K, MINIMA, SKETCHES, SIMILARITY = 5, 3, 20, 0.8
-#: A bucket of at most so many texts is compared pair by pair, a larger one with its leader; leaders at once in later rounds.
-SMALL, LEADERS = 8, 8
+from orrery.llm.common import Staging, WordHashes, components, cut, different_texts, join_small, mix64, packed, rolling
+
+#: Words of a k-mer, k-mers of a sketch, and the least edit similarity of a link.
+K, MINIMA, SIMILARITY = 5, 2, 0.8
+#: Orders of the k-mers, and sketches taken along each: SKETCHES = ORDERS * TURNS of a text.
+ORDERS, TURNS = 6, 16
+SKETCHES = ORDERS * TURNS
+#: Edits soon leave no five words in a row of a short text: texts of at most SHORT words have pairs of words as k-mers.
+SHORT, SHORT_K = 64, 2
+#: A bucket of at most so many texts is compared pair by pair, a larger one is split by rare word pairs first.
+DIRECT = 16
 #: Bins in which pairs of words are counted, by the first bits of their hash.
 BINS, _BIN = 1 << 16, np.uint64(48)
 
 _ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_START = (np.arange(TURNS, dtype=np.uint64) << np.uint64(64 - TURNS.bit_length() + 1))
+
+
+def labelled(grams: np.ndarray) -> np.ndarray:
+    """Hashes of the k-mers in which equal ones are told apart by their number of occurrence."""
+    by = np.argsort(grams, kind="stable")
+    same = grams[by]
+    start = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(by) else np.zeros(0, np.int64)
+    nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+    out = np.empty_like(grams)
+    with np.errstate(over="ignore"):
+        out[by] = mix64(same + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    return out
 
 
-def order_sketches(words: np.ndarray, k: int = K, minima: int = MINIMA, sketches: int = SKETCHES) -> np.ndarray:
-    """For each sketch a hash of the `minima` occurrence-labelled k-mers of least rank, taken in the text's order.
+def ordered_minima(grams: np.ndarray, orders: int = ORDERS) -> np.ndarray:
+    """Hashes of the ordered minima of labelled k-mers.
 
-    Equal k-mers are told apart by their number of occurrence, so repeats count; the order of the sampled k-mers makes
-    the sketch respond to moved text, which a set would not. Texts below k words are one k-mer.
+    Sketch t of an order ranks k-mers by (hash - t / TURNS) modulo 1, so its minima are the ones that follow t / TURNS
+    on the circle of hashes: one sort serves all sketches of an order. The minima are taken in the text's order.
     """
+    n, take = len(grams), min(MINIMA, len(grams))
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    order = np.arange(orders)[:, None]
     with np.errstate(over="ignore"):
-        grams = rolling(words, k) if len(words) >= k else rolling(words, len(words), 7) if len(words) else np.zeros(1, np.uint64)
-        by = np.argsort(grams, kind="stable")
-        same = grams[by]
-        start = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-        nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
-        labelled = np.empty_like(grams)
-        labelled[by] = mix64(same + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        take = min(minima, len(grams))
-        out = np.empty(sketches, np.uint64)
-        for j in range(sketches):
-            rank = labelled * _ODD[j]
-            rank ^= rank >> np.uint64(32)
-            rank *= _ODD[j + 100]
-            low = np.argpartition(rank, take - 1)[:take] if take < len(rank) else np.arange(take)
-            value = np.uint64(j + 1)
-            for g in grams[np.sort(low)]:
-                value = value * np.uint64(0x9E3779B97F4A7C15) + g
-            out[j] = value
-        return mix64(out)
-
-
-def banded_distance(a: list[int], b: list[int], most: int) -> int:
+        rank = grams * _ODD[:orders, None]
+        rank ^= rank >> np.uint64(32)
+        rank *= _ODD[100 : 100 + orders, None]
+        # the first bits of a rank and the place of its k-mer, so that sorting leaves places to read off
+        by = np.sort(rank >> bits << bits | np.arange(n, dtype=np.uint64), axis=1)
+        flat = (by >> np.uint64(8)).ravel() | np.repeat(np.arange(orders, dtype=np.uint64) << np.uint64(56), n)
+        at = np.searchsorted(flat, (_START >> np.uint64(8) | order.astype(np.uint64) << np.uint64(56)).ravel()).reshape(orders, TURNS) - order * n
+        places = by[order[:, :, None], (at[:, :, None] + np.arange(take)) % n] & ((np.uint64(1) << bits) - np.uint64(1))
+        places.sort(axis=2)
+        value = np.broadcast_to(order + 1, (orders, TURNS)).astype(np.uint64)
+        for i in range(take):
+            value = value * np.uint64(0x9E3779B97F4A7C15) + grams[places[:, :, i].astype(np.int64)]
+    return value.ravel()
+
+
+def order_sketches(words: np.ndarray) -> np.ndarray:
+    """The different Order MinHash sketches of a text, given its words' hashes.
+
+    A sketch is a hash of the MINIMA occurrence-labelled k-mers of least rank, in the text's order: repeats count, and
+    moved text changes sketches, which a set would not show. Texts of at most SHORT words have sketches of pairs of
+    words, the ends counting as words; those of at least SIMILARITY * SHORT words have sketches of K words. So any
+    two texts that may be linked have sketches of one kind.
+    """
+    out = []
+    if len(words) <= SHORT:
+        ends = np.concatenate([np.array([1], np.uint64), words, np.array([2], np.uint64)])
+        out.append(ordered_minima(labelled(rolling(ends, SHORT_K, 7))))
+    if len(words) >= int(SIMILARITY * SHORT):
+        out.append(ordered_minima(labelled(rolling(words, K))))
+    found = np.sort(np.concatenate(out))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
+
+
+def banded_distance(a: Sequence, b: Sequence, most: int) -> int:
     """Edit distance of two sequences if it is at most `most`, else most + 1.
 
-    Only the cells within `most` of the diagonal are computed, a column at a time, as the vertical differences of the
-    public bit-parallel algorithms of Myers and Hyyro, held in integers of 2 * most + 1 bits.
+    What they have in common at either end needs no alignment, and the bags of what is left bound the distance from
+    below. Bands that are too narrow for `most` come first: they settle texts that are much alike.
     """
     if len(a) < len(b):
         a, b = b, a
@@ -71,27 +104,43 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
         return len(a)
     bag = Counter(a)
     bag.subtract(b)
-    if max(sum(x for x in bag.values() if x > 0), -sum(x for x in bag.values() if x < 0)) > most:
+    low = max(sum(x for x in bag.values() if x > 0), -sum(x for x in bag.values() if x < 0))
+    if low > most:
         return most + 1
-    most = min(most, len(a))
-    where: dict[int, int] = {}
+    where: dict = {}
     for i, x in enumerate(b):
         where[x] = where.get(x, 0) | 1 << i
+    band = max(14, low + low // 4)
+    while band < most and band < len(a):
+        if (found := _in_band(a, b, where, band)) <= band:
+            return found
+        band *= 4
+    found = _in_band(a, b, where, min(most, len(a)))
+    return found if found <= most else most + 1
+
+
+def _in_band(a: Sequence, b: Sequence, where: dict, most: int) -> int:
+    """Edit distance of a and the shorter b if at most `most`, else more than that; where: the places of b's words as bits.
+
+    Only the cells within `most` of the diagonal are computed, a column at a time, as the vertical differences of the
+    public bit-parallel algorithms of Myers and Hyyro, held in integers of 2 * most + 1 bits.
+    """
     # bit i of a column's window stands for row (column - most + i) of b; bit `most` is the diagonal
-    width = 2 * most + 1
-    full = (1 << width) - 1
+    full = (1 << 2 * most + 1) - 1
     vp, vn, score = full & ~((1 << most) - 1), 0, 0
     rows = len(b)
     # score follows the diagonal until its row passes the end of b, then the last row
     for col, x in enumerate(a):
         shift = col - most
         match = where.get(x, 0)
-        match = (match >> shift if shift >= 0 else match << -shift) & full
+        match = (match >> shift if shift >= 0 else match << -shift) & full if match else 0
         d0 = ((((match & vp) + vp) ^ vp) | match | vn) & full
         hp = (vn | ~(d0 | vp)) & full
         hn = d0 & vp
         if col < rows:
             score += 0 if d0 >> most & 1 else 1
+            if score > 2 * most:
+                return score
         else:
             at = rows - 1 - shift
             if at < 0:
@@ -100,34 +149,33 @@ def banded_distance(a: list[int], b: list[int], most: int) -> int:
         down = d0 >> 1
         vp = (hn | ~(down | hp)) & full
         vn = down & hp
-    return score if score <= most else most + 1
+    return score
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+def similar(a: Sequence, b: Sequence, least: float = SIMILARITY) -> bool:
     """Whether 1 - edit distance / length of the longer is at least `least`, over words."""
-    longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
-    return banded_distance(a.tolist(), b.tolist(), most) <= most
+    most = int((1 - least) * max(len(a), len(b)) + 1e-9)
+    return banded_distance(a, b, most) <= most
 
 
-def _links(stage: Staging, pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) that alignment confirms."""
+def _links(stage: Staging, pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) that alignment confirms, word by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(batch.column("left"), batch.column("right"), strict=True)]
+            good = [similar(x.as_py().split(), y.as_py().split(), least) for x, y in zip(batch.column("left"), batch.column("right"), strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    left = pairs.join(sequences.select(F.col("key").alias("a"), F.col("words").alias("left")), "a")
-    both = left.join(sequences.select(F.col("key").alias("b"), F.col("words").alias("right")), "b")
+    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
+    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
     return stage.table(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """The rows of buckets that hold at least two keys."""
-    many = members.groupBy("bucket").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("bucket")
-    return members.join(many, "bucket").distinct()
+def _may_link(x: str, y: str, least: float):
+    """Whether texts of x.n and y.n words can be similar."""
+    longer = F.greatest(f"{x}.n", f"{y}.n")
+    return F.least(f"{x}.n", f"{y}.n") >= longer - F.floor((1 - least) * longer + 1e-9)
 
 
 def prefix_grams(words: np.ndarray, least: float, counts: np.ndarray | None = None) -> np.ndarray:
@@ -138,133 +186,131 @@ def prefix_grams(words: np.ndarray, least: float, counts: np.ndarray | None = No
     principle one of these is among the first n + 2 less that number, in any order that holds for all texts. Here
     those are first that share their bin of `counts` with the fewest. Without counts, all pairs. Needs least > 0.5.
     """
-    with np.errstate(over="ignore"):
-        grams = rolling(np.concatenate([np.array([1], np.uint64), words, np.array([2], np.uint64)]), 2)
-        by = np.argsort(grams, kind="stable")
-        same = grams[by]
-        start = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-        nth = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
-        labelled = mix64(same + nth.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    found = labelled(rolling(np.concatenate([np.array([1], np.uint64), words, np.array([2], np.uint64)]), 2))
     if counts is None:
-        return labelled
+        return found
     n = len(words)
     longer = np.arange(n, int(n / least) + 2)
     common = int((longer + 1 - 2 * ((1 - least) * longer + 1e-9).astype(np.int64)).min())
-    return labelled[np.lexsort((labelled, counts[(labelled >> _BIN).astype(np.int64)]))[: n + 2 - common]]
+    return found[np.lexsort((found, counts[(found >> _BIN).astype(np.int64)]))[: n + 2 - common]]
 
 
-def _split(stage: Staging, keys: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """Buckets (bucket, key, n) by prefix_grams of the given texts, in which all their pairs of similarity `least` meet."""
-    texts = stage.table(sequences.join(keys, "key"))
+def _split(stage: Staging, keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Buckets (bucket, key, n, root) by prefix_grams of the given texts (key, root): all their similar pairs meet in one."""
+    texts = stage.table(texts.join(keys, "key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(BINS, np.int64)
+        held, hashes = np.zeros(BINS, np.int64), WordHashes()
         for batch in batches:
-            for x in batch.column("words"):
-                np.add.at(held, (prefix_grams(np.frombuffer(x.as_buffer(), np.uint64), least) >> _BIN).astype(np.int64), 1)
+            for x in batch.column("text"):
+                np.add.at(held, (prefix_grams(hashes.of(x.as_py().split()), least) >> _BIN).astype(np.int64), 1)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["bin", "n"])
 
     counts = np.zeros(BINS, np.int64)
-    for r in texts.mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         counts[r["bin"]] = r["n"]
     shared = keys.sparkSession.sparkContext.broadcast(counts)
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            for key, x in zip(batch.column("key").to_pylist(), batch.column("words"), strict=True):
-                words = np.frombuffer(x.as_buffer(), np.uint64)
-                found = prefix_grams(words, least, shared.value).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.full(len(found), key), pa.int64()), pa.array(np.full(len(found), len(words)), pa.int64())], ["bucket", "key", "n"])
+            for x, key, n, root in zip(*(batch.column(c) for c in ("text", "key", "n", "root")), strict=True):
+                found = prefix_grams(hashes.of(x.as_py().split()), least, shared.value).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(np.full(len(found), v.as_py()), pa.int64()) for v in (key, n, root))], ["bucket", "key", "n", "root"])
+
+    return stage.table(texts.mapInArrow(prefix, "bucket long, key long, n long, root long"))
 
-    return stage.table(_shared(stage.table(texts.mapInArrow(prefix, "bucket long, key long, n long"))))
+
+def _across(stage: Staging, placed: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of texts in one bucket that are not of one class and whose lengths allow a link.
+
+    Only buckets of more than one class, with `most` those of at most so many texts. The texts outside a bucket's largest class
+    meet the others; a class of many texts never meets itself.
+    """
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("size"))
+    sizes = sizes.where("classes > 1" + (f" and size <= {most}" if most else "")).select("bucket", F.col("main.root").alias("main"))
+    here = stage.table(placed.join(sizes, "bucket").select("bucket", "key", "n", "root", (F.col("root") == F.col("main")).alias("inner")))
+    p, q = here.where("not inner").alias("p"), here.alias("q")
+    meet = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.root") != F.col("q.root")) & (F.col("q.inner") | (F.col("p.key") < F.col("q.key"))) & _may_link("p", "q", least)
+    pairs = p.join(q, meet).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"))
+    return pairs.distinct()
 
 
-def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, rounds: int = 1000) -> DataFrame:
-    """Classes of near copies: (key long, class_id) per different text, key a hash of the text.
+def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY):
+    """Classes of near copies: a table (key long, class_id) with a row per different text, and the function that gives a text column its key.
 
     Texts are linked if the edit similarity of their words is at least `similarity` (1 - distance / longer) and they
-    agree in one of SKETCHES ordered sketches; classes are the connected components, class_id the least id in one.
-    Equal texts are merged before all else, by hash aggregation.
-
-    A bucket is left once all its texts are of one class or all its pairs across classes are tested. In a bucket
-    above SMALL texts every text is compared with the bucket's leader, first one drawn by a hash of bucket and text,
-    then those that have most links; only leaders, whose pairs are then all tested, leave it. After the second round
-    the texts that are left are dealt anew by their rarest pairs of neighbouring words (prefix_grams), of which linked
-    texts share at least one: this parts texts that only have a passage in common, loses no link and may add links of
-    texts that agree in no sketch. Leaders at once double from round to round, so a bucket ends after about as many
-    rounds as its size has binary digits, with every pair compared where all its texts are unlike. Pairs compared
-    before, of one class or of lengths too different are not compared. RuntimeError if `rounds` do not suffice.
+    agree in one of their ordered sketches; classes are the connected components, class_id the least id in one. Equal
+    texts are merged before all else, by hash aggregation over 128 bits.
+
+    1. Every text is aligned with the first text (least key) of each of its buckets; the links give first classes.
+    2. What is left are pairs across classes. Buckets of at most DIRECT texts are compared pair by pair. The texts of
+       larger ones are dealt anew by their rarest pairs of neighbouring words (prefix_grams), of which linked texts
+       share at least one: this parts texts that have only a passage in common, loses no link and may add links of
+       texts that agree in no sketch. In either, texts outside a bucket's largest class meet the texts of the others.
+    Every pair that shares a bucket is thus aligned, of one class already, or ruled out by an exact criterion. Texts
+    that no criterion parts are compared pair by pair, so their cost grows with the square of their number.
     """
     spark = df.sparkSession
     stage = Staging(spark)
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            texts = [hashes.of(t.as_py().split()) for t in batch.column("text")]
-            found = [order_sketches(x) for x in texts]
-            keys, sizes = np.repeat(batch.column("key").to_numpy(), SKETCHES), np.repeat([len(x) for x in texts], SKETCHES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["bucket", "key", "n"])
-
-    def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, met = WordHashes(), set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                words = [hashes.of(t.as_py().split()).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(words, pa.binary())], ["key", "words"])
-
-    def may_link(x: str, y: str):
-        longer = F.greatest(f"{x}.n", f"{y}.n")
-        return (F.col(f"{x}.root") != F.col(f"{y}.root")) & (F.least(f"{x}.n", f"{y}.n") >= longer - F.floor((1 - similarity) * longer + 1e-9))
+            buckets, keys, sizes = [np.zeros(0, np.uint64)], [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                if key in met:  # a copy of a text that this task has had
+                    continue
+                if len(met) > 100_000:
+                    met.clear()
+                met.add(key)
+                words = hashes.of(text.as_py().split())
+                buckets.append(order_sketches(words))
+                keys.append(key)
+                sizes.append(len(words))
+            each = [len(x) for x in buckets[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64), pa.int64()), *(pa.array(np.repeat(np.array(x, np.int64), each), pa.int64()) for x in (keys, sizes))], ["bucket", "key", "n"])
 
     try:
-        texts = stage.table(rows.groupBy("key").agg(F.min("id").alias("first")))
-        members = stage.table(_shared(stage.table(rows.select("key", "text").mapInArrow(sketch, "bucket long, key long, n long"))))
-        wanted = stage.table(members.select("key").distinct().join(texts, "key"))
-        chosen = join_small(rows.withColumnRenamed("key", "k"), wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
-        sequences = stage.table(chosen.select("key", "text").mapInArrow(sequence, "key long, words binary").dropDuplicates(["key"]))
-        links = tested = stage.table(spark.createDataFrame([], "a long, b long"))
+        texts, key_of = different_texts(stage, rows)
+        keyed = rows.withColumn("key", key_of("text"))
+        members = stage.table(keyed.select("key", "text").mapInArrow(sketch, "bucket long, key long, n long"))
+        shared = members.groupBy("bucket").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead < last").select("bucket", "lead")
+        placed = stage.table(members.join(shared, "bucket"))
+        stage.drop(members)
+        sizes = stage.table(placed.groupBy("key").agg(F.max("n").alias("n")))
+        wanted = sizes.join(texts, "key").select(F.col("key").alias("k"), "n", "first")
+        chosen = join_small(keyed, stage.table(wanted), (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
+        chosen = stage.table(chosen.select("key", "text", "n").dropDuplicates(["key"]))
+
+        led = placed.where("key <> lead").select("lead", "key", "n").distinct()
+        led = led.join(sizes.select(F.col("key").alias("lead"), F.col("n").alias("m")), "lead")
+        led = led.select(F.struct(F.col("m").alias("n")).alias("p"), F.struct("n").alias("q"), F.col("lead").alias("a"), F.col("key").alias("b"))
+        tested = stage.table(led.where(_may_link("p", "q", similarity)).select("a", "b"))
+        links = _links(stage, tested, chosen, similarity)
         roots = components(links)
-        for turn in range(rounds):
-            if turn == 2 and similarity > 0.5:
-                members = _split(stage, members.select("key").distinct(), sequences, similarity)
-            # later rounds see few texts, so they may compare more at once: larger buckets pair by pair, others with more leaders
-            most, leaders = (SMALL, 1) if turn < 2 else (SMALL * LEADERS, LEADERS << min(turn - 2, 40))
-            degrees = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("degree"))
-            facts = stage.table(roots.join(degrees, F.col("node") == F.col("a")).select(F.col("node").alias("key"), "root", "degree"))
-            placed = stage.table(members.select("bucket", "key", "n").join(facts, "key", "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
-            sizes = stage.table(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket", "size"))
-            small = placed.join(sizes.where(F.col("size") <= most).select("bucket"), "bucket")
-            within = small.alias("p").join(small.alias("q"), F.col("p.bucket") == F.col("q.bucket")).where(F.col("p.key") < F.col("q.key")).where(may_link("p", "q")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"))
-            large = stage.table(placed.join(sizes.where(F.col("size") > most).select("bucket"), "bucket").withColumn("h", F.xxhash64("bucket", "key")))
-            first = large.groupBy("bucket", F.pmod(F.col("h"), F.lit(leaders)).alias("s")).agg(F.min(F.struct((-F.col("degree")).alias("d"), "h", "key", "root", "n")).alias("x"))
-            lead = stage.table(first.select("bucket", F.col("x.key").alias("key"), F.col("x.root").alias("root"), F.col("x.n").alias("n")))
-            led = large.alias("p").join(lead.alias("q"), F.col("p.bucket") == F.col("q.bucket")).where(may_link("p", "q"))
-            compared = led.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"))
-            pairs = stage.table(within.union(compared).distinct().join(tested, ["a", "b"], "left_anti"))
-            confirmed = stage.table(links.union(_links(stage, pairs, sequences, similarity)))
-            more = stage.table(tested.union(pairs))
-            for old in (links, tested, placed, facts):
-                stage.drop(old)
-            links, tested = confirmed, more
-            roots = components(links)
-            members = stage.table(large.select("bucket", "key", "n").join(lead.select("bucket", "key"), ["bucket", "key"], "left_anti"))
-            # a bucket of one class has nothing left to test
-            where = members.join(roots, F.col("key") == F.col("node"), "left").select("bucket", F.coalesce("root", "key").alias("root"))
-            open_buckets = where.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-            members = stage.table(members.join(open_buckets, "bucket"))
-            if members.isEmpty():
-                break
-        else:
-            raise RuntimeError(f"near_classes did not settle in {rounds} rounds")
+
+        classed = stage.table(placed.select("bucket", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root")))
+        stage.drop(placed)
+        facts = classed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
+        left = stage.table(classed.join(facts, "bucket").distinct())
+        stage.drop(classed)
+        pairs = _across(stage, left.where(F.col("size") <= DIRECT), similarity)
+        hot = stage.table(left.where(F.col("size") > DIRECT).select("key", "root").distinct())
+        if not hot.isEmpty():
+            pairs = pairs.union(_across(stage, _split(stage, hot, chosen, similarity), similarity)).distinct()
+        more = stage.table(pairs.join(tested, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            found = _links(stage, more, chosen, similarity)
+            if not found.isEmpty():
+                roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         classed = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
         named = stage.table(classed.where("root <> key").select("root").distinct().withColumnRenamed("root", "r"))
         groups = classed.join(named, F.col("root") == F.col("r")).groupBy("root").agg(F.min("first").alias("least"))
         out = classed.join(groups.withColumnRenamed("root", "g"), F.col("root") == F.col("g"), "left")
-        return cut(out.select("key", F.coalesce("least", "first").alias("class_id")))
+        return cut(out.select("key", F.coalesce("least", "first").alias("class_id"))), key_of
     finally:
         stage.close()
 
@@ -276,8 +322,8 @@ def near_dedup(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     and text fare alike; null ids count as larger than others and a class without any other keeps all its rows.
     Columns of df stay inside row. An empty table gives an empty result.
     """
-    classes = near_classes(df, text_col=text_col, id_col=id_col, similarity=similarity)
-    rows = packed(df).withColumn("key", F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
+    classes, key_of = near_classes(df, text_col=text_col, id_col=id_col, similarity=similarity)
+    rows = packed(df).withColumn("key", key_of(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
     out = join_small(rows, classes.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
     return out.select("row", "class_id", F.col(f"row.`{id_col}`").eqNullSafe(F.col("class_id")).alias("kept"))
 
