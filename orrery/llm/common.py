@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -10,9 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows may be broadcast (rows are narrow: tens of bytes).
-BROADCAST_ROWS = 50_000
-
+#: What a side may have to be broadcast, and what a row of a few numbers has.
+BROADCAST_BYTES, ROW_BYTES = 8 << 20, 32
 
 #: Rows that a Python worker is handed at once, where the session has Spark's default: texts make 10 000 rows heavy.
 BATCH_ROWS = 1_000
@@ -26,19 +29,38 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The session's spark.checkpoint.dir; only where it is unset (tests on one machine) a folder of our own.
+    The session's spark.checkpoint.dir; only where it is unset and all runs on this machine a folder of our own, which
+    goes with the process. RuntimeError on a cluster without it: other machines would not see a local folder.
     """
     bounded_batches(spark)
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="orrery-shared-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         context.setCheckpointDir(configured)
     elif not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     return configured
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a file of the shared folder that results may need until the driver ends."""
+
+    def run() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            delete(spark, path)
+
+    atexit.register(run)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file of the driver's, written to any file system that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,7 +74,8 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept as a reliable checkpoint in the shared folder.
 
-    Spark's context cleaner removes the files once nothing refers to them.
+    With spark.cleaner.referenceTracking.cleanCheckpoints the context cleaner removes the files once nothing refers to
+    them; without it they stay, as all checkpoints do.
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -72,23 +95,24 @@ class Staging:
         out._staged = path
         return out
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_staged", None):
-            self._delete(path)
+            delete(self.spark, path)
 
     def close(self) -> None:
-        self._delete(self.root)
+        delete(self.spark, self.root)
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Broadcast right where its row count, counted here unless given, is within BROADCAST_ROWS; else a shuffled join."""
-    rows = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int | None = None, bytes_: Column | None = None) -> DataFrame:
+    """Broadcast right where its rows, counted here unless given, have BROADCAST_BYTES at most; else a shuffled join.
+
+    A row counts as ROW_BYTES, and as bytes_ more where it has wide columns.
+    """
+    if bytes_ is not None:
+        rows, more = right.agg(F.count("*"), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    else:
+        rows, more = right.count() if rows is None else rows, 0
+    return left.join(F.broadcast(right) if rows * ROW_BYTES + more <= BROADCAST_BYTES else right, on, how)
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, WordHashes, components, cut, different_texts, join_small, mix64, packed, rolling
+from orrery.llm.common import BROADCAST_BYTES, ROW_BYTES, Staging, WordHashes, components, cut, different_texts, join_small, mix64, packed, rolling
 
 #: Words of a k-mer, k-mers of a sketch, and the least edit similarity of a link.
 K, MINIMA, SIMILARITY = 5, 2, 0.8
@@ -23,6 +23,8 @@ SHORT, SHORT_K = 64, 2
 DIRECT = 16
 #: Bins in which pairs of words are counted, by the first bits of their hash.
 BINS, _BIN = 1 << 16, np.uint64(48)
+#: Longs of a text's word_marks.
+MARKS = 4
 
 _ODD = mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _START = (np.arange(TURNS, dtype=np.uint64) << np.uint64(64 - TURNS.bit_length() + 1))
@@ -159,7 +161,11 @@ def similar(a: Sequence, b: Sequence, least: float = SIMILARITY) -> bool:
 
 
 def _links(stage: Staging, pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those pairs (a, b) that alignment confirms, word by word."""
+    """Those pairs (a, b) that alignment confirms, word by word.
+
+    The text with more pairs is fetched first, and the pairs are dealt out by the other one: so the partners of a text
+    that has very many are aligned all over the cluster.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,15 +173,40 @@ def _links(stage: Staging, pairs: DataFrame, texts: DataFrame, least: float) ->
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
-    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(degrees.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}")), side)
+    more, less = (F.when(F.col("n_a") >= F.col("n_b"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+    pairs = stage.table(pairs.select(more.alias("a"), less.alias("b")))
+    both = pairs
+    for side, name in (("a", "left"), ("b", "right")):
+        # where those that are wanted are few enough to be sent to the texts, the others stay where they are
+        wanted = stage.table(pairs.select(F.col(side).alias("key")).distinct())
+        needed = join_small(texts, wanted, "key", "left_semi") if wanted.count() * ROW_BYTES <= BROADCAST_BYTES else texts
+        both = both.join(needed.select(F.col("key").alias(side), F.col("text").alias(name)), side)
     return stage.table(both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long"))
 
 
-def _may_link(x: str, y: str, least: float):
-    """Whether texts of x.n and y.n words can be similar."""
+def _may_link(x: str, y: str, least: float, marked: bool = False):
+    """Whether texts of x.n and y.n words can be similar.
+
+    marked: as far as word_marks tell, too. A word that only one of two texts has takes an edit, and a mark that only
+    one has stands for such a word.
+    """
     longer = F.greatest(f"{x}.n", f"{y}.n")
-    return F.least(f"{x}.n", f"{y}.n") >= longer - F.floor((1 - least) * longer + 1e-9)
+    most = F.floor((1 - least) * longer + 1e-9)
+    fine = F.least(f"{x}.n", f"{y}.n") >= longer - most
+    for a, b in ((x, y), (y, x)) if marked else ():
+        own = [F.bit_count(F.col(f"{a}.m{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{i}")))) for i in range(MARKS)]
+        fine = fine & (sum(own[1:], own[0]) <= most)
+    return fine
+
+
+def word_marks(words: np.ndarray) -> np.ndarray:
+    """MARKS longs with a bit set for each word, by the first bits of its hash."""
+    bits = np.zeros(64 * MARKS, bool)
+    bits[(words >> np.uint64(64 - (64 * MARKS - 1).bit_length())).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def prefix_grams(words: np.ndarray, least: float, counts: np.ndarray | None = None) -> np.ndarray:
@@ -196,8 +227,8 @@ def prefix_grams(words: np.ndarray, least: float, counts: np.ndarray | None = No
 
 
 def _split(stage: Staging, keys: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Buckets (bucket, key, n, root) by prefix_grams of the given texts (key, root): all their similar pairs meet in one."""
-    texts = stage.table(texts.join(keys, "key"))
+    """Buckets (bucket, key, n, root, marks) by prefix_grams of the given texts (key, root): all their similar pairs meet in one."""
+    texts = stage.table(join_small(texts, keys, "key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hashes = np.zeros(BINS, np.int64), WordHashes()
@@ -216,23 +247,48 @@ def _split(stage: Staging, keys: DataFrame, texts: DataFrame, least: float) -> D
         hashes = WordHashes()
         for batch in batches:
             for x, key, n, root in zip(*(batch.column(c) for c in ("text", "key", "n", "root")), strict=True):
-                found = prefix_grams(hashes.of(x.as_py().split()), least, shared.value).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(np.full(len(found), v.as_py()), pa.int64()) for v in (key, n, root))], ["bucket", "key", "n", "root"])
+                words = hashes.of(x.as_py().split())
+                found = prefix_grams(words, least, shared.value).view(np.int64)
+                values = [key.as_py(), n.as_py(), root.as_py(), *word_marks(words).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(np.full(len(found), v), pa.int64()) for v in values)], ["bucket", *names])
+
+    names = ["key", "n", "root", *(f"m{i}" for i in range(MARKS))]
+    return stage.table(texts.mapInArrow(prefix, ", ".join(f"{c} long" for c in ("bucket", *names))))
+
+
+def _led(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a the smaller, of rows (lead, m, key, n) whose lengths m and n allow a link."""
+    both = rows.select(F.struct(F.col("m").alias("n")).alias("p"), F.struct("n").alias("q"), F.least("lead", "key").alias("a"), F.greatest("lead", "key").alias("b"))
+    return both.where(_may_link("p", "q", least)).select("a", "b")
+
+
+def _open(stage: Staging, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, key, n, root, size) of the members of buckets that hold more than one class."""
+    classed = stage.table(join_small(members.select("bucket", "key", "n"), roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root")).distinct())
+    sizes = classed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
+    return stage.table(join_small(classed, stage.table(sizes), "bucket"))
+
 
-    return stage.table(texts.mapInArrow(prefix, "bucket long, key long, n long, root long"))
+def _second(stage: Staging, left: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of the texts outside each bucket's largest class with one of that class, another one in each bucket."""
+    classes = left.groupBy("bucket", "root").agg(F.count("*").alias("texts"), F.min(F.struct(F.xxhash64("bucket", "key").alias("h"), "key", "n")).alias("one"))
+    largest = classes.groupBy("bucket").agg(F.max(F.struct("texts", "root", "one")).alias("x"))
+    largest = stage.table(largest.where("x.texts > 1").select("bucket", F.col("x.root").alias("main"), F.col("x.one.key").alias("lead"), F.col("x.one.n").alias("m")))
+    return _led(join_small(left, largest, "bucket").where("root <> main"), least).distinct()
 
 
 def _across(stage: Staging, placed: DataFrame, least: float, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) of texts in one bucket that are not of one class and whose lengths allow a link.
+    """Pairs (a, b) of texts in one bucket that are not of one class and whose lengths, and marks if there are any, allow a link.
 
     Only buckets of more than one class, with `most` those of at most so many texts. The texts outside a bucket's largest class
     meet the others; a class of many texts never meets itself.
     """
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("classes"), F.sum("n").alias("size"))
     sizes = sizes.where("classes > 1" + (f" and size <= {most}" if most else "")).select("bucket", F.col("main.root").alias("main"))
-    here = stage.table(placed.join(sizes, "bucket").select("bucket", "key", "n", "root", (F.col("root") == F.col("main")).alias("inner")))
+    marks = [c for c in placed.columns if c in [f"m{i}" for i in range(MARKS)]]
+    here = stage.table(join_small(placed, stage.table(sizes), "bucket").select("bucket", "key", "n", "root", *marks, (F.col("root") == F.col("main")).alias("inner")))
     p, q = here.where("not inner").alias("p"), here.alias("q")
-    meet = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.root") != F.col("q.root")) & (F.col("q.inner") | (F.col("p.key") < F.col("q.key"))) & _may_link("p", "q", least)
+    meet = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.root") != F.col("q.root")) & (F.col("q.inner") | (F.col("p.key") < F.col("q.key"))) & _may_link("p", "q", least, bool(marks))
     pairs = p.join(q, meet).select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"))
     return pairs.distinct()
 
@@ -244,7 +300,9 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
     agree in one of their ordered sketches; classes are the connected components, class_id the least id in one. Equal
     texts are merged before all else, by hash aggregation over 128 bits.
 
-    1. Every text is aligned with the first text (least key) of each of its buckets; the links give first classes.
+    1. Every text is aligned with the first text (least key) of each of its buckets; the links give first classes. In
+       larger buckets of several classes the texts outside the largest are then aligned with one of it, drawn anew for
+       each bucket, so that of a family of copies few stay outside.
     2. What is left are pairs across classes. Buckets of at most DIRECT texts are compared pair by pair. The texts of
        larger ones are dealt anew by their rarest pairs of neighbouring words (prefix_grams), of which linked texts
        share at least one: this parts texts that have only a passage in common, loses no link and may add links of
@@ -283,20 +341,22 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
         sizes = stage.table(placed.groupBy("key").agg(F.max("n").alias("n")))
         wanted = sizes.join(texts, "key").select(F.col("key").alias("k"), "n", "first")
         chosen = join_small(keyed, stage.table(wanted), (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
-        chosen = stage.table(chosen.select("key", "text", "n").dropDuplicates(["key"]))
+        chosen = stage.table(chosen.select("key", "text", "n"))
+        if chosen.count() > sizes.count():  # rows that repeat an id and its text
+            chosen = stage.table(chosen.dropDuplicates(["key"]))
 
         led = placed.where("key <> lead").select("lead", "key", "n").distinct()
         led = led.join(sizes.select(F.col("key").alias("lead"), F.col("n").alias("m")), "lead")
-        led = led.select(F.struct(F.col("m").alias("n")).alias("p"), F.struct("n").alias("q"), F.col("lead").alias("a"), F.col("key").alias("b"))
-        tested = stage.table(led.where(_may_link("p", "q", similarity)).select("a", "b"))
+        tested = stage.table(_led(led, similarity))
         links = _links(stage, tested, chosen, similarity)
         roots = components(links)
 
-        classed = stage.table(placed.select("bucket", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root")))
+        left = _open(stage, placed, roots)
         stage.drop(placed)
-        facts = classed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x < y").select("bucket", "size")
-        left = stage.table(classed.join(facts, "bucket").distinct())
-        stage.drop(classed)
+        pairs = stage.table(_second(stage, left.where(F.col("size") > DIRECT), similarity).join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            roots = components(_links(stage, pairs, chosen, similarity).union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            tested, left = tested.union(pairs), _open(stage, left, roots)
         pairs = _across(stage, left.where(F.col("size") <= DIRECT), similarity)
         hot = stage.table(left.where(F.col("size") > DIRECT).select("key", "root").distinct())
         if not hot.isEmpty():
@@ -306,9 +366,9 @@ def near_classes(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
             found = _links(stage, more, chosen, similarity)
             if not found.isEmpty():
                 roots = components(found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        classed = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+        classed = join_small(texts, roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
         named = stage.table(classed.where("root <> key").select("root").distinct().withColumnRenamed("root", "r"))
-        groups = classed.join(named, F.col("root") == F.col("r")).groupBy("root").agg(F.min("first").alias("least"))
+        groups = join_small(classed, named, F.col("root") == F.col("r")).groupBy("root").agg(F.min("first").alias("least"))
         out = classed.join(groups.withColumnRenamed("root", "g"), F.col("root") == F.col("g"), "left")
         return cut(out.select("key", F.coalesce("least", "first").alias("class_id"))), key_of
     finally:
