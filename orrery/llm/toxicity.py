@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,11 @@ from orrery.llm.common import Staging, packed
 
 _TOKEN = re.compile(r"[^\W_]+")
 
-#: Bounds of what is fitted: labelled rows looked at (those whose ids hash lowest), terms kept, and examples indexed.
-MAX_LABELLED, MAX_TERMS = 40_000, 4_000
+#: Default of `fit(max_labelled=)`: the labelled rows a model learns from, those whose ids hash lowest.
+MAX_LABELLED = 5_000
+#: A word's IDF counts in full where its counts by label have a log-likelihood ratio well above TELLING (chance words
+#: of some hundred thousand stay below), and to the share FLOOR where they do not differ.
+TELLING, FLOOR = 14.0, 0.03
 
 
 def tokens(text: str | None) -> list[str]:
@@ -33,63 +36,67 @@ def _least_shingles(text: str | None) -> tuple[str, str]:
     return tuple(f"{min(xxhash.xxh64_intdigest(x, seed) for x in shingles):x}" for seed in (0, 1))
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[0], start[0] + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 # --- index ---------------------------------------------------------------------------------------------------------
 
 
-@dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples by term; every `width` consecutive examples form a block with each term's largest weight."""
-
-    n: int
-    width: int
-    rows: dict[int, np.ndarray]  # term -> examples, ascending
-    weights: dict[int, np.ndarray]
-    blocks: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # term -> block numbers, their largest weight, first posting
-
-    @classmethod
-    def build(cls, vectors: list[dict[int, float]], width: int = 64) -> BlockMaxIndex:
-        rows: dict[int, list[int]] = {}
-        weights: dict[int, list[float]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                rows.setdefault(t, []).append(i)
-                weights.setdefault(t, []).append(w)
-        r = {t: np.array(x, np.int64) for t, x in rows.items()}
-        w = {t: np.array(x) for t, x in weights.items()}
-        blocks = {}
-        for t, x in r.items():
-            numbers, first = np.unique(x // width, return_index=True)
-            blocks[t] = (numbers, np.maximum.reduceat(w[t], first), np.append(first, len(x)))
-        return cls(len(vectors), width, r, w, blocks)
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, exactly; ties by the lower number.
-
-        Blocks are opened by descending bound (sum of query weight times block maximum) until no bound can beat the
-        k-th cosine found.
+    """Sparse vectors of examples, inverted: postings by term, then example. Every `width` consecutive examples form a block.
+
+    The postings of a term in a block lie together; of each such stretch the largest weight is known.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, width: int = 64):
+        self.n, self.width = len(vectors), width
+        each = np.array([len(ids) for ids, _ in vectors], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in vectors)]).astype(np.int64)
+        weights, of = np.concatenate([np.zeros(0), *(w for _, w in vectors)]), np.repeat(np.arange(self.n), each)
+        by = np.lexsort((of, ids))
+        terms = ids[by]
+        self.example, self.weights = of[by].astype(np.int32), weights[by]
+        block = self.example // width
+        first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(by) else np.zeros(0, np.int64)
+        self.blocks = -(-self.n // width)
+        self.start = np.append(first, len(by))
+        self.block, self.most = block[first], np.maximum.reduceat(self.weights, first) if len(by) else np.zeros(0)
+        self.term_start = np.searchsorted(terms[first], np.arange(size + 1))
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k examples of largest product above 0 with a sparse vector, exactly; ties by the lower number.
+
+        Blocks are opened by descending bound (sum of query weight times block maximum), twice as many at each step,
+        until no bound reaches the k-th product found.
         """
-        terms = sorted(t for t in query if t in self.blocks)
-        if not terms:
-            return []
-        bounds = np.zeros(-(-self.n // self.width))
-        for t in terms:
-            numbers, most, _ = self.blocks[t]
-            bounds[numbers] += query[t] * most
+        begin = self.term_start[ids]
+        size = self.term_start[ids + 1] - begin
+        at, w = _runs(begin, size), np.repeat(weights, size)
+        block = self.block[at]
+        bounds = np.bincount(block, self.most[at] * w, self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order:
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(self.width)
-            for t in terms:
-                numbers, _, first = self.blocks[t]
-                at = np.searchsorted(numbers, b)
-                if at < len(numbers) and numbers[at] == b:
-                    span = slice(first[at], first[at + 1])
-                    scores[self.rows[t][span] - b * self.width] += query[t] * self.weights[t][span]
-            hit = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((-scores[i], int(b * self.width + i)) for i in hit if b * self.width + i != skip)])[:k]
-        return [(-s, i) for s, i in best]
+        order = order[bounds[order] > 0]
+        scores, numbers, step = np.zeros(0), np.zeros(0, np.int64), 8
+        while len(order) and (len(scores) < k or bounds[order[0]] >= scores[-1] - 1e-12):
+            # of the blocks that are next, those whose bound is still high enough
+            opened = np.zeros(self.blocks, bool)
+            opened[order[:step]] = True
+            if len(scores) == k:
+                opened &= bounds >= scores[-1] - 1e-12
+            order = order[step:]
+            step *= 2
+            here = opened[block]
+            begin, long = self.start[at[here]], self.start[at[here] + 1] - self.start[at[here]]
+            postings = _runs(begin, long)
+            found = np.bincount(self.example[postings], self.weights[postings] * np.repeat(w[here], long), self.n)
+            hit = np.flatnonzero(found > (scores[-1] - 1e-12 if len(scores) == k else 0))
+            scores, numbers = np.concatenate([scores, found[hit]]), np.concatenate([numbers, hit])
+            best = np.lexsort((numbers, -scores))[:k]
+            scores, numbers = scores[best], numbers[best]
+        return list(zip(scores.tolist(), numbers.tolist(), strict=True))
 
 
 # --- model ---------------------------------------------------------------------------------------------------------
@@ -98,32 +105,40 @@ class BlockMaxIndex:
 @dataclass
 class Model:
     terms: dict[str, int]
-    idf: np.ndarray
-    index: BlockMaxIndex
-    positive: np.ndarray  # labelled rows behind each distinct example vector
-    total: np.ndarray
-    names: list  # an id of each
-    bare: float  # score of a text without any kept term
-    prior: float
+    idf: np.ndarray  # of each term, by how far it tells the labels apart
+    unseen: float  # of a word that no example has
+    index: BlockMaxIndex | None = None
+    positive: np.ndarray | None = None  # labelled rows behind each distinct example vector
+    total: np.ndarray | None = None
+    names: list | None = None  # an id of each
+    bare: float = 0.0  # score of a text without any word of an example
+    prior: float = 0.0
     k: int = 15
     slope: float = 1.0
     offset: float = 0.0
-    cache: dict = field(default_factory=dict)
 
-    def vector(self, counts: Counter | dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + math.log(c)) * float(self.idf[t]) for t, c in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()} if norm > 0 else {}
-
-    def count(self, text: str | None) -> dict[int, int]:
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of a text, ascending, how often each occurs, and how often each word occurs that no example has."""
         get = self.terms.get
-        return dict(sorted(Counter(t for t in map(get, tokens(text)) if t is not None).items()))
+        found = [(get(w, -1), c) for w, c in Counter(tokens(text)).items()]
+        known = sorted(x for x in found if x[0] >= 0)
+        return np.array([t for t, _ in known], np.int64), np.array([c for _, c in known], np.int64), np.array([c for t, c in found if t < 0], np.int64)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Unit TF-IDF weights of the terms; the other words count in the length alone."""
+        w, rest = (1 + np.log(counts)) * self.idf[terms], (1 + np.log(others)) * self.unseen
+        length = math.sqrt(w @ w + rest @ rest)
+        return w / length if length > 0 else w
+
+    def near(self, text: str | None) -> list[tuple[float, int]]:
+        terms, counts, others = self.counts(text)
+        return self.index.nearest(terms, self.vector(terms, counts, others), self.k) if len(terms) and self.index else []
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, each weighted by its cosine to the fourth, pulled to the prior."""
         top = all_ = 0.0
         for cosine, i in near:
-            w = cosine**4
+            w = (cosine / near[0][0]) ** 4
             top, all_ = top + w * self.positive[i], all_ + w * self.total[i]
         return (top + self.prior * 0.5) / (all_ + 0.5)
 
@@ -132,16 +147,8 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * x + self.offset))))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        counts = self.count(text)
-        if not counts:
-            return self.bare, []
-        key = tuple(counts.items())
-        if key not in self.cache:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            near = self.index.nearest(self.vector(counts), self.k)
-            self.cache[key] = self.calibrated(self.vote(near)) if near else self.bare, near[:3]
-        return self.cache[key]
+        near = self.near(text)
+        return (self.calibrated(self.vote(near)), near[:3]) if near else (self.bare, [])
 
 
 def _platt(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -160,127 +167,161 @@ def _platt(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple
     return float(a), float(b)
 
 
-def _sample(df: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str) -> DataFrame:
-    """(id, text, label) of at most MAX_LABELLED training rows, one for each different text."""
+def _sample(df: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(id, text, label) of the rows of at most `most` labelled ids of the training fold, those that hash lowest."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).alias("label"))
-    chosen = known.where(F.crc32(F.col("lid").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("lid"), "lid").limit(MAX_LABELLED)
+    known = known.where(F.crc32(F.col("lid").cast("string").cast("binary")) % 5 != 0).withColumn("h", F.shiftrightunsigned(F.xxhash64("lid"), 24))
+    # rows are let through by their hash first, so that sorting sees about 1.5 * most of them at any size
+    share = 1.5 * (most + 100) / max(1, known.count())
+    chosen = known.where(F.col("h") < int(min(1.0, share) * 2**40)).orderBy("h", "lid").limit(most)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("id", "text", F.col("label").cast("int").alias("label"))
 
 
-def _select(sample: DataFrame) -> dict[str, int]:
-    """The words that separate the labels, numbered from the strongest."""
+def telling(a: np.ndarray, n: np.ndarray, positive: int, rows: int) -> np.ndarray:
+    """From FLOOR to 1: how far a word in n of the rows, a of them positive, tells the labels apart.
+
+    A smooth step over the log-likelihood ratio of its two by two table of occurrence and label.
+    """
+    ratio = np.zeros(len(n))
+    for seen, toxic in ((n, a), (rows - n, positive - a)):
+        for count, share in ((toxic, positive / rows), (seen - toxic, 1 - positive / rows)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio += np.where(count > 0, 2 * count * np.log(count / (seen * share)), 0.0)
+    return FLOOR + (1 - FLOOR) / (1 + np.exp(-(ratio - TELLING) / 2))
+
+
+def _words(sample: DataFrame) -> dict[str, tuple[int, int]]:
+    """Of every word of the sample: its positive and all rows, near copies counted once; under '' the rows there are.
+
+    Near copies share their rare words by chance: one text for each least shingle, by two hashes, gives evidence. Words
+    that only the others have come with zero rows.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_least_shingles(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), *(pa.array([g[i] for g in got], pa.string()) for i in (0, 1))], ["text", "label", "s0", "s1"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["word", "positive", "total"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in (0, 1))], ["word", "positive", "total"])
             found.clear()
             return out
 
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label"), strict=True):
-                y = int(label.as_py())
+            for text, label, once in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("once").to_pylist(), strict=True):
                 for w in {"", *tokens(text.as_py())}:
                     c = found.setdefault(w, [0, 0])
-                    c[0] += y
-                    c[1] += 1
+                    c[0] += once * label
+                    c[1] += once
                 if len(found) > 200_000:
                     yield flush()
         yield flush()
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [_least_shingles(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), *(pa.array([g[i] for g in got], pa.string()) for i in (0, 1))], ["text", "label", "s0", "s1"])
-
-    # near copies share their rare words by chance: one text for each least shingle, by two hashes, gives evidence
-    once = sample.select("text", "label").mapInArrow(sketches, "text string, label int, s0 string, s1 string")
+    kept = sample.select("text", "label").mapInArrow(sketches, "text string, label int, s0 string, s1 string")
     for s in ("s0", "s1"):
-        once = once.groupBy(s).agg(F.max(F.struct("label", "text", "s1")).alias("x")).select(F.col("x.text").alias("text"), F.col("x.label").alias("label"), F.col("x.s1").alias("s1"))
-    counted = once.select("text", "label").mapInArrow(words, "word string, positive long, total long").groupBy("word").agg(F.sum("positive").alias("a"), F.sum("total").alias("n"))
-    size = counted.where("word = ''").collect()
-    pos, all_ = (size[0]["a"], size[0]["n"]) if size else (0, 0)
-    neg = all_ - pos
-    if not pos or not neg:
-        return {}
-    a, b = F.col("a") + F.lit(0.0), F.col("n") - F.col("a")
-    odds = F.log((a + 0.5) / (F.lit(float(pos)) - a + 0.5)) - F.log((b + 0.5) / (F.lit(float(neg)) - b + 0.5))
-    expected = F.col("n") * F.lit(pos / all_)
-    strong = counted.where((F.col("word") != "") & (F.col("a") >= max(2, round(pos / 250)))).withColumn("odds", odds).withColumn("chi", (a - expected) * (a - expected) / expected).where("odds >= 2.5 and chi >= 8")
-    return {r["word"]: i for i, r in enumerate(strong.orderBy(F.desc("chi"), "word").limit(MAX_TERMS).select("word").collect())}
-
-
-def _frequencies(df: DataFrame, text_col: str, words: set[str]) -> tuple[dict[str, int], int]:
-    """In how many rows of the whole table each word occurs, and the number of rows."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
+        kept = kept.groupBy(s).agg(F.max(F.struct("label", "text", "s1")).alias("x")).select(F.col("x.text").alias("text"), F.col("x.label").alias("label"), F.col("x.s1").alias("s1"))
+    every = kept.select("text", "label", F.lit(1).alias("once")).union(sample.select("text", "label", F.lit(0)))
+    counted = every.mapInArrow(words, "word string, positive long, total long").groupBy("word").agg(F.sum("positive").alias("a"), F.sum("total").alias("n"))
+    return {r["word"]: (r["a"], r["n"]) for r in counted.collect()}
+
+
+def _frequencies(df: DataFrame, text_col: str, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many rows of the whole table each term occurs, and the number of rows."""
+    shared = df.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        known = shared.value
+        known, seen = shared.value, Counter()
         for batch in batches:
-            seen[""] += batch.num_rows
+            seen[-1] += batch.num_rows
             for text in batch.column("text"):
-                seen.update(known.intersection(tokens(text.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                seen.update([t for w in set(tokens(text.as_py())) if (t := known.get(w)) is not None])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
     every = df.select(F.col(f"`{text_col}`").alias("text"))
-    found = {r["word"]: r["n"] for r in every.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return found, found.get("", 0)
-
-
-def _indexed(sample: DataFrame, terms: dict[str, int], idf: np.ndarray, k: int) -> Model:
-    """A model of the sample's texts, not yet calibrated."""
-    blank = Model(terms, idf, BlockMaxIndex.build([]), np.zeros(0), np.zeros(0), [], 0.5, 0.5, k)
+    out, rows = np.zeros(len(terms), np.int64), 0
+    for r in every.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        if r["term"] < 0:
+            rows = r["n"]
+        else:
+            out[r["term"]] = r["n"]
+    shared.destroy()
+    return out, rows
+
+
+def _indexed(sample: DataFrame, terms: dict[str, int], words: dict[str, tuple[int, int]], n: np.ndarray, rows: int, k: int) -> Model:
+    """A model of the sample's texts, not yet calibrated; words: their counts by label in this sample."""
+    positive, once = words[""]
+    counts = np.array([words.get(w, (0, 0)) for w in terms], np.int64).reshape(-1, 2)
+    idf = (np.log((rows + 1) / (n + 1)) + 1) * telling(counts[:, 0], counts[:, 1], positive, once)
+    blank = Model(terms, idf, (math.log(rows + 1) + 1) * FLOOR, k=k)
     shared = sample.sparkSession.sparkContext.broadcast(blank)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.count(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32())), batch.column("label").cast(pa.int32()), batch.column("id")], ["terms", "counts", "label", "id"])
+            found = [m.counts(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i].tolist() for f in found], pa.list_(pa.int32())) for i in (0, 1)), batch.column("label").cast(pa.int32()), batch.column("id")], ["terms", "counts", "label", "id"])
 
     vectors = sample.select("text", "label", F.col("id").cast("string").alias("id")).mapInArrow(examples, "terms array<int>, counts array<int>, label int, id string")
     merged = vectors.groupBy("terms", "counts").agg(F.sum("label").alias("a"), F.count("*").alias("n"), F.min("id").alias("id")).collect()
+    shared.destroy()
     bare = [(r["a"], r["n"]) for r in merged if not r["terms"]]
-    kept = sorted((r for r in merged if r["terms"]), key=lambda r: (r["terms"], r["counts"]))
-    prior = (sum(r["a"] for r in merged) + 1) / (sum(r["n"] for r in merged) + 2)
-    total = np.array([float(r["n"]) for r in kept])
+    blank.prior = (sum(r["a"] for r in merged) + 1) / (sum(r["n"] for r in merged) + 2)
+    blank.bare = (bare[0][0] + blank.prior) / (bare[0][1] + 1) if bare else blank.prior
+    kept = []
+    for r in merged:
+        if r["terms"]:
+            t, none = np.array(r["terms"], np.int64), np.zeros(0, np.int64)
+            w = blank.vector(t, np.array(r["counts"], np.int64), none)
+            # texts with the same telling word, or else with the same commonest word, share blocks: bounds differ more
+            at = int(np.argmax(w)) if idf[t].max() > 0.5 * (math.log(rows + 1) + 1) * FLOOR and w.max() > 0.3 else int(np.argmax(n[t]))
+            kept.append((int(t[at]), r["terms"], r["counts"], t, w, r))
+    kept.sort(key=lambda x: x[:3])
+    total = np.array([float(x[-1]["n"]) for x in kept])
     shrink = 1 / np.sqrt(np.maximum(total, 1))  # copies of one text agree anyway: n of them vote as its square root
-    positive = np.array([float(r["a"]) for r in kept])
-    index = BlockMaxIndex.build([blank.vector(dict(zip(r["terms"], r["counts"], strict=True))) for r in kept])
-    return Model(terms, idf, index, positive * shrink, total * shrink, [r["id"] for r in kept], (bare[0][0] + prior) / (bare[0][1] + 1) if bare else prior, prior, k)
+    blank.positive, blank.total = np.array([float(x[-1]["a"]) for x in kept]) * shrink, total * shrink
+    blank.index, blank.names = BlockMaxIndex([x[3:5] for x in kept], len(terms)), [x[-1]["id"] for x in kept]
+    return blank
 
 
-def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", k: int = 15) -> Model:
-    """A model from labelled rows whose crc32(id as text) mod 5 is not 0.
+def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", k: int = 15, max_labelled: int = MAX_LABELLED) -> Model:
+    """A model from at most max_labelled labelled ids whose crc32(id as text) mod 5 is not 0.
 
-    Terms are words that separate the labels on the sample (log odds of at least 2.5, chi-square of at least 8, in at
-    least two, and one in 250, of the different positive texts; the MAX_TERMS strongest are kept). Their document
-    frequencies are counted over the whole table. Examples are the sample's texts as vectors of kept terms, equal
+    All words of the sample's texts are terms, with their document frequency over the whole table and the share of it
+    that `telling` gives them. Examples are the sample's texts of either label as unit vectors of all their words, equal
     vectors merged. A first model of four fifths of the sample scores the last fifth, to which the curve that turns
-    votes into scores is fitted; the model returned has all of the sample.
+    votes into scores is fitted; the model returned has all of the sample. An id with several labels has the largest;
+    all rows of an id with several texts are examples. Without labels of both kinds nothing can be told apart: the model
+    has no examples and scores every text 0.
     """
     stage = Staging(df.sparkSession)
     try:
-        sample = stage.table(_sample(df, labels, text_col, id_col, label_col))
+        sample = stage.table(_sample(df, labels, text_col, id_col, label_col, max_labelled))
         last = F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(5)) == 0
         parts = (sample.where(~last), sample)
-        terms = [_select(p) for p in parts]
-        n, rows = _frequencies(df, text_col, set().union(*terms))
-        first, model = (_indexed(p, t, np.array([math.log((rows + 1) / (n.get(w, 0) + 1)) + 1 for w in t]), k) for p, t in zip(parts, terms, strict=True))
-        shared = df.sparkSession.sparkContext.broadcast(first)
+        words = [_words(p) for p in parts]
+        fits = [0 < w.get("", (0, 0))[0] < w[""][1] for w in words if w] if all(words) else [False]
+        if not fits[-1]:
+            return Model({}, np.zeros(0), 0.0)
+        terms = {w: i for i, w in enumerate(sorted(set(words[1]) - {""}))}
+        n, rows = _frequencies(df, text_col, terms)
+        model = _indexed(sample, terms, words[1], n, rows, k)
+        if not all(fits):
+            return model
+        shared = df.sparkSession.sparkContext.broadcast(_indexed(parts[0], terms, words[0], n, rows, k))
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             for batch in batches:
-                counts = [m.count(t.as_py()) for t in batch.column("text")]
-                near = [m.index.nearest(m.vector(c), k) if c else [] for c in counts]
-                found = pa.array([m.vote(x) if x else None for x in near], pa.float64())
-                yield pa.RecordBatch.from_arrays([found, batch.column("label").cast(pa.int32())], ["share", "label"])
+                near = [m.near(t.as_py()) for t in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([pa.array([m.vote(x) if x else None for x in near], pa.float64()), batch.column("label").cast(pa.int32())], ["share", "label"])
 
         held = sample.where(last).select("text", "label").mapInArrow(votes, "share double, label int").where("share is not null").collect()
+        shared.destroy()
     finally:
         stage.close()
     if held:
@@ -291,9 +332,9 @@ def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str
 def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """(row struct, score double, evidence array<struct<id string, cosine double>>) of every row.
 
-    One pass, no shuffle: each task holds the broadcast model, whose size MAX_LABELLED and MAX_TERMS bound. Whole texts
-    are scored; a null text counts as an empty one, and texts without any kept term get the share of label 1 among
-    such examples. Without labels of both kinds every score is the prior. Columns of df stay inside row.
+    One pass, no shuffle: each task holds the broadcast model, whose size `max_labelled` bounds. Whole texts are scored;
+    a null text counts as an empty one, and texts without any word of an example get the share of label 1 among such
+    examples, pulled to that of all. Repeated rows fare alike. Columns of df stay inside row.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     held = packed(df).select("row", F.col(f"row.`{text_col}`").alias("text"))
