@@ -1,4 +1,4 @@
-"""Suffix-array dedup on a sparse suffix array: suffixes at minimiser positions, equal neighbours, exact extension."""
+"""Suffix-array dedup on a sparse suffix array: suffixes at minimiser positions, sorted, compared with neighbours, extended."""
 
 from __future__ import annotations
 
@@ -10,12 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, WordHashes, cut, join_small, mix64, packed, rolling
+from orrery.llm.common import Staging, WordHashes, cut, different_texts, join_small, mix64, packed, rolling
 
 #: Words of the shortest repeat, and of the prefix by which suffixes are ordered and sampled.
 MIN_WORDS, PREFIX = 50, 16
 
+#: Suffixes that a range of the sorted order should hold.
+RANGE_ROWS = 1_000_000
+
 _WORD = re.compile(r"\S+")
+#: What Python's split() leaves between white space, as a Java pattern.
+_JAVA_WORD = r"(?U)[^\s\x1c-\x1f]+"
 
 
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
@@ -50,47 +55,111 @@ class Suffixes:
     def anchors(self, grams: np.ndarray) -> np.ndarray:
         return sliding_argmin(grams, self.width)
 
-    def windows(self, grams: np.ndarray) -> np.ndarray:
-        """A hash of the min_words words from each position."""
-        n = len(grams) - (self.min_words - PREFIX)
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        out = np.zeros(n, np.uint64)
+    def windows(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the min_words words from each position."""
+        n = max(0, len(grams) - (self.min_words - PREFIX))
+        out = np.zeros((2, n), np.uint64)
         with np.errstate(over="ignore"):
-            for at in [*range(0, self.min_words - PREFIX, PREFIX), self.min_words - PREFIX]:
-                out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + grams[at : at + n])
-        return out
+            for at in [*range(0, self.min_words - PREFIX, PREFIX), self.min_words - PREFIX] if n else []:
+                for i, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+                    out[i] = mix64(out[i] * np.uint64(odd) + grams[at : at + n])
+        return out[0], out[1]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """Maximal runs of at least min_words words that different texts share: one row per different text that has some.
+def sorted_runs(stage: Staging, suffixes: DataFrame, prefix: list[str], place: str) -> DataFrame:
+    """The suffixes whose prefix occurs in another text too, with keeper, the least key of the texts that have it.
 
-    Returns (key long, first (least id with that text), copied boolean (other ids have the whole text), n_words int,
-    spans array<struct<start int, words int, keeper long, removed boolean>>), ready in the shared folder. key is a
-    hash of the text. Of the texts that hold a passage the one with the smallest key keeps it; in the others it is
-    marked removed. spans are ordered; keeper is the key of a text that holds the span's first words and keeps them.
+    suffixes: a staged table of the prefix columns (longs that stand for the first words), key, and place in the text.
+    They are sorted by prefix, key and place over all machines, so equal prefixes are neighbours; one pass over each
+    sorted range compares them. Ranges are cut within a prefix too, by key, however common it is: what a range begins
+    or ends with is put together with its other parts by hash aggregation, at most two prefixes per range.
+    """
+    spark, names = suffixes.sparkSession, [*prefix, "key", place]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-suffixes.count() // RANGE_ROWS))
+    ordered = suffixes.select(*names).repartitionByRange(parts, *names).sortWithinPartitions(*names)
+    kinds = [(f.name, f.dataType.simpleString()) for f in ordered.schema.fields]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None  # the rows since the last change of prefix
+        first = True
+
+        def runs(rows: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+            nonlocal first
+            change = np.zeros(len(rows[0]) - 1, bool)
+            for x in rows[: len(prefix)]:
+                change |= x[1:] != x[:-1]
+            start = np.concatenate([[0], np.flatnonzero(change) + 1])
+            end = np.append(start[1:], len(rows[0])) - 1
+            key = rows[len(prefix)]
+            border = np.zeros(len(start), bool)
+            border[0], border[-1] = first, True
+            done = len(rows[0]) if last else int(start[-1])
+            # keys ascend within a run, so its first key is the keeper and its last tells whether there are others
+            good = border | (key[start] != key[end])
+            size = end - start + 1
+            take = np.repeat(good, size)[:done]
+            out = [x[:done][take] for x in rows]
+            extra = [np.repeat(key[start], size)[:done][take], np.repeat(border, size)[:done][take]]
+            if done:
+                first = False
+            kinds_ = [pa.int64() if t == "bigint" else pa.int32() for _, t in kinds]
+            batch = pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, kinds_, strict=True)), pa.array(extra[0], pa.int64()), pa.array(extra[1], pa.bool_())], [*names, "keeper", "border"])
+            return batch, [x[done:] for x in rows]
 
-    1. Suffixes at minimiser positions are ordered by a hash of their first PREFIX words; runs of equal neighbours
-       from more than one text are what a group by that hash leaves, with one row per task and hash to exchange.
-    2. Around each such suffix the texts' windows of min_words words are compared the same way. A window stands for a
-       match extended left and right of the suffix: all windows of a maximal match lie around its kept suffixes, so
-       their union is the match, exact to the word. Comparing each suffix with its two neighbours alone would miss a
-       match whose two parts, left and right of it, are longest with different texts.
-    Words are separated by white space and compared by 64-bit hashes. Copies of a text are one text here.
+        for batch in batches:
+            if batch.num_rows:
+                new = [batch.column(n).to_numpy() for n in names]
+                kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
+                out, kept = runs(kept, False)
+                yield out
+                if len(kept[0]) > 4 * batch.num_rows:  # a prefix beyond all measure: hand on what there is of it
+                    out = runs(kept, True)[0]
+                    yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(np.ones(out.num_rows, bool))], out.schema.names)
+                    first, kept = True, None
+        if kept is not None:
+            yield runs(kept, True)[0]
+
+    found = stage.table(ordered.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t in [*kinds, ("keeper", "bigint"), ("border", "boolean")])))
+    ends = found.where("border").groupBy(*prefix).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
+    joined = join_small(found.where("border"), stage.table(ends), prefix).select(*names, F.col("least").alias("keeper"))
+    return found.where("not border").select(*names, "keeper").union(joined)
+
+
+def repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS):
+    """Maximal runs of at least min_words words that different texts share, and the function that gives a text column its key.
+
+    A table with a row per different text that has some: (key long, first (least id with that text), copied boolean
+    (other ids have the whole text), n_words int, spans array<struct<start int, words int, keeper long, removed
+    boolean>>), ready in the shared folder. key stands for the text. Of the texts that hold a passage the one with the
+    smallest key keeps it; in the others it is marked removed. spans are ordered; keeper is the key of a text that
+    holds the span's first words and keeps them.
+
+    1. Suffixes at minimiser positions are sorted by their first PREFIX words (their hash) and compared with their
+       neighbours; those whose prefix another text has stay.
+    2. Those are extended left, word by word, as far as a match of min_words words around them can begin, and right to
+       min_words words; the extended suffixes are sorted and compared with their neighbours as well. One that has an
+       equal neighbour from another text starts a match, and a maximal match is the union of such suffixes, exact to
+       the word. Extending a suffix of step 1 with its own two neighbours alone would miss a match whose two parts,
+       left and right of it, are longest with different texts.
+    Words are separated by white space; matches of min_words words are told by 128 bits. Copies of a text are one text.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Suffixes(min_words)
+        s, met = Suffixes(min_words), set()
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            grams, at, of = [], [], []
-            for key, text in zip(keys, batch.column("text"), strict=True):
+            grams, at, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                if key in met:  # a copy of a text that this task has had
+                    continue
+                if len(met) > 100_000:
+                    met.clear()
+                met.add(key)
                 g = s.grams(text.as_py())
                 a = s.anchors(g)
                 grams.append(g[a])
@@ -102,13 +171,13 @@ def repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", mi
         s = Suffixes(min_words)
         for batch in batches:
             for key, text, places in zip(batch.column("key"), batch.column("text"), batch.column("places"), strict=True):
-                w = s.windows(s.grams(text.as_py()))
-                near = np.zeros(len(w) + 1, np.int64)
+                one, two = s.windows(s.grams(text.as_py()))
+                near = np.zeros(len(one) + 1, np.int64)
                 for a in places.as_py():
                     near[max(0, a - s.width + 1)] += 1
-                    near[min(a + 1, len(w))] -= 1
+                    near[min(a + 1, len(one))] -= 1
                 start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                yield pa.RecordBatch.from_arrays([_signed(w[start]), pa.array(np.full(len(start), key.as_py()), pa.int64()), pa.array(start, pa.int32())], ["window", "key", "start"])
+                yield pa.RecordBatch.from_arrays([_signed(one[start]), _signed(two[start]), pa.array(np.full(len(start), key.as_py()), pa.int64()), pa.array(start, pa.int32())], ["window", "check", "key", "start"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("keeper", pa.int64()), ("removed", pa.bool_())]))
@@ -127,20 +196,22 @@ def repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", mi
 
     stage = Staging(spark)
     try:
-        texts = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.size(F.split(F.trim("text"), r"\s+"))).alias("n_words"))
-        texts = stage.table(texts.select("key", "first", (F.col("first") < F.col("last")).alias("copied"), "n_words"))
-        suffixes = stage.table(rows.select("key", "text").mapInArrow(sample, "prefix long, key long, at int"))
-        shared = suffixes.groupBy("prefix").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("prefix")
-        hits = stage.table(suffixes.join(shared, "prefix").groupBy("key").agg(F.collect_set("at").alias("places")))
+        found, key_of = different_texts(stage, rows)
+        keyed = rows.withColumn("key", key_of("text"))
+        suffixes = stage.table(keyed.select("key", "text").mapInArrow(sample, "prefix long, key long, at int"))
+        hits = stage.table(sorted_runs(stage, suffixes, ["prefix"], "at").groupBy("key").agg(F.collect_set("at").alias("places")))
         stage.drop(suffixes)
-        chosen = stage.table(hits.join(texts, "key").select("key", "first", "places"))
-        wanted = join_small(rows.withColumnRenamed("key", "k"), chosen, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
-        windows = stage.table(wanted.select("key", "text", "places").mapInArrow(around, "window long, key long, start int"))
-        kept = windows.groupBy("window").agg(F.min("key").alias("keeper"), F.max("key").alias("b")).where("keeper < b").select("window", "keeper")
-        found = windows.join(kept, "window").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "keeper"))).alias("found"))
+        chosen = stage.table(hits.join(found, "key").select(F.col("key").alias("k"), "first", "places"))
+        wanted = join_small(keyed, chosen, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")), bytes_=F.size("places") * 4)
+        windows = stage.table(wanted.select("key", "text", "places").mapInArrow(around, "window long, check long, key long, start int"))
+        copied = found.where("first < last").select(F.col("key").alias("c"), F.col("first").alias("f"))
+        lengths = join_small(keyed, stage.table(copied), (F.col("key") == F.col("c")) & F.col("id").eqNullSafe(F.col("f"))).groupBy("key").agg(F.max(F.regexp_count("text", F.lit(_JAVA_WORD))).alias("n_words"))
+        texts = stage.table(found.select("key", "first").join(lengths, "key", "left").select("key", "first", F.col("n_words").isNotNull().alias("copied"), F.coalesce("n_words", F.lit(0)).alias("n_words")))
+        matches = sorted_runs(stage, windows, ["window", "check"], "start")
+        found = matches.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "keeper"))).alias("found"))
         spans = found.mapInArrow(joined, "key long, spans array<struct<start:int,words:int,keeper:bigint,removed:boolean>>")
         out = texts.join(spans, "key", "left").where(F.col("spans").isNotNull() | (F.col("copied") & (F.col("n_words") >= min_words)))
-        return cut(out.select("key", "first", "copied", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,words:int,keeper:bigint,removed:boolean>>")).alias("spans")))
+        return cut(out.select("key", "first", "copied", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,words:int,keeper:bigint,removed:boolean>>")).alias("spans"))), key_of
     finally:
         stage.close()
 
@@ -168,10 +239,10 @@ def dedup(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_
     that loses nothing has its text unchanged; a null text stays null; rows with the same id and text fare alike. Texts
     below min_words words are never touched. Columns of df stay inside row. An empty table gives an empty result.
     """
-    marks = repeats(df, text_col=text_col, id_col=id_col, min_words=min_words)
+    marks, key_of = repeats(df, text_col=text_col, id_col=id_col, min_words=min_words)
     todo = marks.where(F.col("copied") | F.exists("spans", lambda s: s["removed"])).select(F.col("key").alias("k"), "first", "copied", F.col("n_words").alias("n"), F.filter("spans", lambda s: s["removed"]).alias("cuts"))
-    rows = packed(df).withColumn("key", F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
-    linked = join_small(rows, todo, F.col("key") == F.col("k"), "left")
+    rows = packed(df).withColumn("key", key_of(F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))))
+    linked = join_small(rows, todo, F.col("key") == F.col("k"), "left", bytes_=F.size("cuts") * 24)
     copy = F.coalesce(F.col("copied") & (F.col("n") >= min_words) & ~F.col(f"row.`{id_col}`").eqNullSafe(F.col("first")), F.lit(False))
     ready = linked.select("row", F.col(f"row.`{text_col}`").alias("text"), copy.alias("copy"), "cuts")
 
@@ -205,11 +276,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    marks = repeats(docs)
+    marks, key_of = repeats(docs)
     firsts = marks.select(F.col("key").alias("keeper_key"), F.col("first").alias("keeper_doc_id"))
     whole = F.struct(F.lit(0).alias("start"), F.col("n_words").alias("words"), F.col("key").alias("keeper"), F.lit(None).cast("boolean").alias("removed"))
     listed = marks.select("key", "first", F.explode(F.concat("spans", F.when(F.col("copied") & (F.col("n_words") >= MIN_WORDS), F.array(whole)).otherwise(F.array().cast("array<struct<start:int,words:int,keeper:bigint,removed:boolean>>")))).alias("s"))
     listed = join_small(listed.select("key", "first", "s.*"), firsts, F.col("keeper") == F.col("keeper_key"), "left").drop("keeper_key")
-    ids = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    ids = docs.select("doc_id", key_of(F.coalesce("text", F.lit(""))).alias("k"))
     gone = F.coalesce(F.col("removed"), ~F.col("doc_id").eqNullSafe(F.col("first")))
     return ids.join(listed, F.col("k") == F.col("key")).select("doc_id", F.col("start").alias("start_word"), F.col("words").alias("n_words"), "keeper_doc_id", gone.alias("removed"))
