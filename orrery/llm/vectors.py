@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, components, cut, join_small
+from orrery.llm.common import Staging, components, cut, different_texts, join_small
 
 COSINE = 0.95
 #: Rows the centroids are fitted on at most (those whose vectors hash lowest), and vectors a shard should hold.
@@ -24,6 +24,8 @@ EXPAND = 0.80
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1: scaled by their largest component first, whose square might be too large or too small a number."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -127,18 +129,20 @@ class _Sets:
         self.of[max(i, j)] = min(i, j)
 
 
-def search_piece(shard: int, keys: np.ndarray, copies: np.ndarray, x: np.ndarray, visits: np.ndarray, member: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_piece(shard: int, keys: np.ndarray, copies: np.ndarray, x: np.ndarray, visits: np.ndarray, lists: list, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One piece of a shard, searched for all rows of x: (key, others, root) with one row per key that has a link here.
 
-    others: copies of the linked vectors counted here. A pair that meets in several shards counts in the first shard
-    of the found vector that the searching one visits; the found vector counts it from here too if it visits none of
-    the searching one's. root: the least key of those that the links found here connect.
+    lists: the united adjacency list (keys) of the piece's own members, None for rows that only search here. others:
+    copies of the linked vectors counted here. A pair that meets in several shards counts in the first shard of the
+    found vector that the searching one visits; the found vector counts it from here too if it visits none of the
+    searching one's. root: the least key of those that the links found here connect.
     """
-    own = np.flatnonzero(member)
+    own = np.array([i for i, of in enumerate(lists) if of is not None], np.int64)
     base = x[own]
     if not len(own):
         return keys[:0], copies[:0], keys[:0]
-    graph = build_graph(base)
+    place = {k: i for i, k in enumerate(keys[own].tolist())}
+    graph = [np.array([place[k] for k in lists[i] if k in place], np.int64) for i in own]
     medoid = int((base @ base.mean(axis=0)).argmax())
     others = np.zeros(len(keys), np.int64)
     sets = _Sets(len(keys))
@@ -169,12 +173,17 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 
     Equal vectors are merged; their number counts as links of each other. Centroids are fitted on a bounded sample;
     every vector is a member of the shards of its OVERLAP nearest clusters and is searched in those of its VISITS
-    nearest. A shard that is too large is cut by hash into pieces of about shard_rows members, each built as a graph
-    of its own and searched for all the shard's visitors, so no task holds a whole hot shard's graph. A vector's
-    adjacency is the union of its lists in all its shards: a walk from each one's medoid follows the list it has
-    there. A search yields sums of copies and the edges of a spanning star, never all pairs. Whatever is counted has
-    been verified by cosine in double precision.
+    nearest. A shard that is too large is cut by hash into pieces of about shard_rows members, so no task holds a whole
+    hot shard. Each piece is built into a robust-pruned graph; the lists that a vector gets in its pieces are united, by
+    hash aggregation, into one adjacency list. The united graph is then searched piece by piece for all the shard's
+    visitors: a walk from the piece's medoid follows united lists as far as they lead within the piece. A search yields
+    sums of copies and the edges of a spanning star, never all pairs. Whatever is counted has been verified by cosine
+    in double precision, for components of any size that a double has.
 
+    A clump of m different vectors that are all within EXPAND of each other costs m * m cosines, as their links have to
+    be counted, in pieces of shard_rows, with a copy of every visitor for each.
+
+    Equal cosines make no ties, as nothing is ranked beyond the shards a vector goes to: the first centroid of equals.
     Null, empty and zero vectors and those with null, NaN or infinite components have no links and are their own
     component; vectors of different lengths never link. Rows that repeat an id count as vectors of their own. An empty
     table gives an empty result.
@@ -183,7 +192,8 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     stage = Staging(spark)
     rows = _vectors(df, id_col, vector_col)
     try:
-        held = rows.where("v is not null").withColumn("key", F.xxhash64("v"))
+        found, key_of = different_texts(stage, rows.where("v is not null").select("id", F.col("v").alias("text")))
+        held = rows.where("v is not null").withColumn("key", key_of(F.col("v")))
         same = stage.table(held.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.min("v").alias("v")))
         shared = spark.sparkContext.broadcast(fit_clusters(same, shard_rows))
 
@@ -191,8 +201,8 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
             for batch in batches:
                 out: list[list[int]] = []
                 for v in batch.column("v").to_pylist():
-                    c, x = shared.value.get(len(v)), np.array(v)
-                    near = np.argsort(-(c @ (x / np.sqrt(x @ x))), kind="stable")[:VISITS].tolist() if c is not None else [0]
+                    c = shared.value.get(len(v))
+                    near = np.argsort(-(c @ unit_rows(np.array([v]))[0]), kind="stable")[:VISITS].tolist() if c is not None else [0]
                     near += [near[-1]] * (VISITS - len(near))
                     out.append([len(v) << 32 | j for j in near])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "copies", "v")), pa.array(out, pa.list_(pa.int64()))], ["key", "copies", "v", "visits"])
@@ -202,15 +212,27 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         pieces = stage.table(members.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(float(shard_rows))).cast("int").alias("pieces")))
         dealt = join_small(placed.withColumn("shard", F.explode(F.array_distinct("visits"))), pieces, "shard")
         piece = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-        dealt = dealt.select("shard", piece.alias("piece"), "key", "copies", "v", "visits", F.pmod(F.xxhash64("key", "shard"), F.col("pieces")).cast("int").alias("own"))
-        member = (F.col("own") == F.col("piece")) & F.array_contains(F.slice("visits", 1, OVERLAP), F.col("shard"))
+        own = F.pmod(F.xxhash64("key", "shard"), F.col("pieces")).cast("int")
+        belongs = F.array_contains(F.slice("visits", 1, OVERLAP), F.col("shard"))
+
+        def build(pdf: pd.DataFrame) -> pd.DataFrame:
+            keys = pdf["key"].to_numpy()
+            graph = build_graph(unit_rows(np.stack(pdf["v"].to_numpy())))
+            return pd.DataFrame({"key": keys, "near": [keys[near].tolist() for near in graph]})
+
+        built = dealt.where(belongs).select("shard", own.alias("piece"), "key", "v").groupBy("shard", "piece").applyInPandas(build, "key long, near array<long>")
+        graph = stage.table(built.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).withColumnRenamed("key", "g"))
+        listed = placed.join(graph, F.col("key") == F.col("g")).drop("g")
+        dealt = join_small(listed.withColumn("shard", F.explode(F.array_distinct("visits"))), pieces, "shard")
+        dealt = dealt.select("shard", piece.alias("piece"), "key", "copies", "v", "visits", own.alias("own"), F.when(belongs, F.col("near")).alias("near"))
+        dealt = dealt.withColumn("near", F.when(F.col("own") == F.col("piece"), F.col("near"))).drop("own")
 
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             x = unit_rows(np.stack(pdf["v"].to_numpy()))
-            found = search_piece(int(pdf["shard"].iloc[0]), pdf["key"].to_numpy(), pdf["copies"].to_numpy(), x, np.stack(pdf["visits"].to_numpy()), pdf["member"].to_numpy(), cosine)
+            found = search_piece(int(pdf["shard"].iloc[0]), pdf["key"].to_numpy(), pdf["copies"].to_numpy(), x, np.stack(pdf["visits"].to_numpy()), list(pdf["near"]), cosine)
             return pd.DataFrame(dict(zip(("key", "others", "root"), found, strict=True)))
 
-        found = stage.table(dealt.withColumn("member", member).drop("own").groupBy("shard", "piece").applyInPandas(search, "key long, others long, root long"))
+        found = stage.table(dealt.groupBy("shard", "piece").applyInPandas(search, "key long, others long, root long"))
         linked = found.groupBy("key").agg(F.sum("others").alias("others"))
         roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
         classed = same.select("key", "copies", "first").join(linked, "key", "left").join(roots, F.col("key") == F.col("node"), "left").select("key", "copies", "first", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "key").alias("root"))
@@ -219,7 +241,7 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
         keyed = cut(classed.join(least, "root").select(F.col("key").alias("k"), (F.col("copies") - 1 + F.col("others")).alias("links"), "component"))
     finally:
         stage.close()
-    named = rows.withColumn("key", F.xxhash64("v")).select("id", F.when(F.col("v").isNotNull(), F.col("key")).alias("key"))
+    named = rows.select("id", F.when(F.col("v").isNotNull(), key_of(F.col("v"))).alias("key"))
     out = named.join(keyed, F.col("key") == F.col("k"), "left")
     return out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
 
@@ -227,7 +249,9 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 def fit_clusters(same: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
     """Centroids by vector length, fitted on the FIT_ROWS vectors of least key: one for about shard_rows members."""
     n = same.count()
-    sample = [r["v"] for r in same.orderBy("key").limit(FIT_ROWS).select("v").collect()]
+    # keys are hashes: a bound on them lets about 1.2 * FIT_ROWS rows through to the sort, at any size
+    share = min(1.0, 1.2 * (FIT_ROWS + 100) / max(n, 1))
+    sample = [r["v"] for r in same.where(F.shiftrightunsigned("key", 24) < int(share * 2**40)).orderBy("key").limit(FIT_ROWS).select("v").collect()]
     out = {}
     for d in sorted({len(v) for v in sample}):
         x = unit_rows(np.array([v for v in sample if len(v) == d]))
@@ -235,29 +259,29 @@ def fit_clusters(same: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
     return out
 
 
-def audit_recall(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, queries: int = 200) -> float:
-    """Share of the links of a fixed sample of vectors (least hashes) that near_vectors has, against brute force."""
+def audit_recall(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, queries: int = 200, shard_rows: int = SHARD_ROWS) -> tuple[float, int]:
+    """Share of the links of a fixed sample of vectors (least hashes) that near_vectors has, and their true number.
+
+    The true links are counted by brute force, in one pass over all vectors. Without any the share is NaN.
+    """
     rows = _vectors(df, id_col, vector_col).where("v is not null")
     sample = rows.orderBy(F.xxhash64("v"), "id").limit(queries).collect()
-    if not sample:
-        return 1.0
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast([(r["id"], np.array(r["v"]) / np.sqrt(np.dot(r["v"], r["v"]))) for r in sample])
+    shared = spark.sparkContext.broadcast([(len(r["v"]), unit_rows(np.array([r["v"]]))[0]) for r in sample])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.zeros(len(shared.value), np.int64)
             for v in batch.column("v").to_pylist():
-                x = np.array(v)
-                x = x / np.sqrt(x @ x)
-                got += [len(q) == len(x) and q @ x >= cosine for _, q in shared.value]
+                x = unit_rows(np.array([v]))[0]
+                got += [n == len(x) and q @ x >= cosine for n, q in shared.value]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got)), pa.int64()), pa.array(got, pa.int64())], ["q", "n"])
 
     true = {r["q"]: r["n"] - 1 for r in rows.select("v").mapInArrow(count, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()}
-    ids = {r["id"] for r in sample}
-    have = {r["id"]: r["n_links"] for r in near_vectors(df, id_col=id_col, vector_col=vector_col, cosine=cosine).where(F.col("id").isin(ids)).collect()}
+    ids = [r["id"] for r in sample]
+    have = {r["id"]: r["n_links"] for r in near_vectors(df, id_col=id_col, vector_col=vector_col, cosine=cosine, shard_rows=shard_rows).where(F.col("id").isin(ids)).collect()}
     total = sum(true.values())
-    return sum(min(have[r["id"]], true[n]) for n, r in enumerate(sample)) / total if total else 1.0
+    return (sum(min(have[i], true[n]) for n, i in enumerate(ids)) / total if total else float("nan")), total
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
