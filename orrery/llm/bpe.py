@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import packed, shared_dir, write_bytes
+from orrery.llm.common import Staging, delete_at_exit, packed, shared_dir, write_bytes
 
 #: Words in the lexicon at most; its file is a few MB, whatever the corpus.
 MAX_WORDS = 50_000
@@ -296,7 +296,7 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator
 
 
 def frequent_words(df: DataFrame, content, text_col: str, most: int = MAX_WORDS) -> list[str]:
-    """The most frequent words of the whole table, at most `most` of those that occur twice; ties by the word."""
+    """The most frequent words of the whole table: all that occur at least so often, and twice, that they are at most `most`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = _vocabulary(content.value), Counter()
@@ -314,17 +314,27 @@ def frequent_words(df: DataFrame, content, text_col: str, most: int = MAX_WORDS)
                     yield flush()
         yield flush()
 
-    counted = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [bytes(r["word"]).decode("utf-8", "surrogatepass") for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
-
-
-def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
-    """(row struct of the columns to keep, ids array<int>): each whole text as the tokenizer file encodes it.
-
-    tokenizer: path, on the driver, of a file of the kind word_bpe. Word counts over the whole table choose the
-    lexicon's words; its file lies in the shared folder, Spark fetches it for each executor, later ones too, and all
-    workers there map it read-only. Words outside it are merged exactly. Null and empty texts have no ids.
-    The strings of special tokens stand for themselves. No shuffle but the word counts'.
+    stage = Staging(df.sparkSession)
+    try:
+        counted = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = stage.table(counted.where("n > 1"))
+        # the frequencies that few words have come one by one, the others as powers of two, so the list is short
+        level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) * F.floor(F.pow(2.0, F.floor(F.log2(F.col("n") / 1024.0)))))
+        least, words = None, 0
+        for r in sorted(counted.groupBy(level.cast("long").alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):
+            words += r["words"]
+            if words > most:
+                break
+            least = r["level"]
+        return [] if least is None else [bytes(r["word"]).decode("utf-8", "surrogatepass") for r in counted.where(F.col("n") >= least).select("word").collect()]
+    finally:
+        stage.close()
+
+
+def _placed(df: DataFrame, tokenizer: str, text_col: str, max_words: int):
+    """What workers need to encode: the tokenizer's content as a broadcast, and the name of the lexicon's file.
+
+    The file lies in the shared folder until the driver ends, as an executor that comes later fetches it from there.
     """
     spark = df.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
@@ -334,7 +344,27 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[
     name = f"orrery-lexicon-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     write_bytes(spark, path, compile_lexicon(words))
+    delete_at_exit(spark, path)
     spark.sparkContext.addFile(path)
+    return content, name
+
+
+def _rows(df: DataFrame, text_col: str, keep: list[str] | None) -> DataFrame:
+    rows = packed(df).select("row", F.col(f"row.`{text_col}`").alias("text"))
+    return rows if keep is None else rows.select(F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), "text")
+
+
+def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
+    """(row struct of the columns to keep, ids array<int>): each whole text as the tokenizer file encodes it.
+
+    tokenizer: path, on the driver, of a file of the kind word_bpe. Word counts over the whole table choose the
+    lexicon's words; its file lies in the shared folder, Spark fetches it for each executor, later ones too, and all
+    workers there map it read-only. Words outside it are merged exactly. Null and empty texts have no ids.
+    The strings of special tokens stand for themselves. No shuffle but the word counts'. Texts are taken a few MB at
+    a time, so a very long one takes memory in proportion to its own length; repeated rows fare alike; columns of df
+    stay inside row, so no name can clash.
+    """
+    content, name = _placed(df, tokenizer, text_col, max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(content.value, name)
@@ -343,12 +373,23 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[
                 offsets, ids = coder.encode(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["row", "ids"])
 
-    rows = packed(df).select("row", F.col(f"row.`{text_col}`").alias("text"))
-    if keep is not None:
-        rows = rows.select(F.struct(*[F.col(f"row.`{c}`") for c in keep]).alias("row"), "text")
+    rows = _rows(df, text_col, keep)
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
+def _joined(lists: pa.Array, table: pa.Array) -> pa.Array:
+    """The tokens of each list of ids joined by one space; ids that the table does not have are left out."""
+    flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    ids = flat.to_numpy(zero_copy_only=False) if not flat.null_count else flat.fill_null(-1).to_numpy(zero_copy_only=False)
+    good = (ids >= 0) & (ids < len(table))
+    counts = np.bincount(row[good], minlength=len(sizes))
+    tokens = table.take(pa.array(ids[good], pa.int32()))
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
+    return pc.if_else(pc.is_valid(lists), joined, None)
+
+
 def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataFrame:
     """df with a column decoded: the ids' tokens joined by one space, as these files have no decoder.
 
@@ -364,26 +405,32 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                lists = batch.column(ids_col)
-                flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                ids = flat.to_numpy(zero_copy_only=False) if not flat.null_count else flat.fill_null(-1).to_numpy(zero_copy_only=False)
-                good = (ids >= 0) & (ids < len(table))
-                counts = np.bincount(row[good], minlength=len(sizes))
-                tokens = table.take(pa.array(ids[good], pa.int32()))
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
-                joined = pc.if_else(pc.is_valid(lists), joined, None)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), joined], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _joined(batch.column(ids_col), table)], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, decoded string")
 
 
+def round_trip(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
+    """(row, ids, decoded) as encode and then decode give them, in one pass: one Python worker per task, not two."""
+    content, name = _placed(df, tokenizer, text_col, max_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _encoder(content.value, name)
+        table = pa.array(coder.v.strings, pa.string())
+        for whole in batches:
+            for batch in _slices(whole, "text"):
+                offsets, ids = coder.encode(batch.column("text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), lists, _joined(lists, table)], ["row", "ids", "decoded"])
+
+    rows = _rows(df, text_col, keep)
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def op1_query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path, keep=["doc_id"])
-    out = decode(ids, path)
+    out = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path, keep=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
