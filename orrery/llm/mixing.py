@@ -85,12 +85,15 @@ def mix(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source
     target by half of one row's size at most (rows with the same id and text share one hash and stand or fall
     together). The hash depends on id and text alone: reruns and other orders of the rows agree.
 
-    Null texts have size 0; null sources are a source of their own, the last; an empty table gives an empty result.
+    Weights have to be above 0. Null texts have size 0; null sources are a source of their own, the last; an empty table gives an empty result.
     Columns of df stay inside row, so no name can clash.
     """
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights are numbers above 0")
     stage = Staging(df.sparkSession)
     text, ident = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`")
-    hashed = F.shiftrightunsigned(F.xxhash64(ident, F.col(f"row.`{text_col}`")), 64 - HASH_BITS)
+    digest = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
+    hashed = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
     marked = packed(df).select("row", F.col(f"row.`{source_col}`").cast("string").alias("source"), word_count(text).alias("size"), hashed.alias("hash"))
     try:
         narrow = stage.table(marked.select("source", "size", "hash"))

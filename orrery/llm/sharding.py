@@ -16,13 +16,15 @@ TEXT_BITS, ID_BITS = 36, 24
 KEY_BITS = TEXT_BITS + ID_BITS
 #: The first histogram has 2**FIRST bins, each refinement cuts a bin in 2**NEXT.
 FIRST, NEXT = 12, 6
+#: Bytes of text that a part should have at most.
+PART_BYTES = 256 << 20
 
 
 def sort_key(text: Column, ident: Column) -> Column:
-    """A key of KEY_BITS bits: equal texts lie together, and within them rows are spread by a hash of the id."""
-    high = F.shiftrightunsigned(F.xxhash64(text), 64 - TEXT_BITS)
-    low = F.shiftrightunsigned(F.xxhash64(ident, text), 64 - ID_BITS)
-    return F.shiftleft(high, ID_BITS).bitwiseOR(low)
+    """A key of KEY_BITS bits by MD5: equal texts lie together, and within them rows are spread by a digest of the id."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    own = F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), digest).cast("binary"))
+    return F.conv(F.concat(F.substring(digest, 1, TEXT_BITS // 4), F.substring(own, 1, ID_BITS // 4)), 16, 10).cast("long")
 
 
 @dataclass
@@ -37,7 +39,7 @@ class Splitters:
     rounds: int
 
 
-def find_splitters(narrow: DataFrame, parts: int, tolerance: float, rows: int | None = None) -> Splitters:
+def find_splitters(narrow: DataFrame, parts: int, tolerance: float, stage: Staging | None = None) -> Splitters:
     """Splitters of a table (key long, size long) into parts of near equal bytes.
 
     Each round counts exact bytes and rows of candidate key ranges over all partitions (a partial and a final hash
@@ -76,7 +78,10 @@ def find_splitters(narrow: DataFrame, parts: int, tolerance: float, rows: int |
             break
         finer = max(0, shift - NEXT)
         parents = narrow.sparkSession.createDataFrame([(b,) for b in next_ranges], "parent long")
-        hit = join_small(narrow.withColumn("parent", F.shiftright("key", shift)), parents, "parent", rows=len(next_ranges))
+        narrow = join_small(narrow.withColumn("parent", F.shiftright("key", shift)), parents, "parent", rows=len(next_ranges)).select("key", "size", "parent")
+        if stage is not None and rounds % 3 == 1:  # later rounds read the open ranges alone
+            narrow = stage.table(narrow)
+        hit, narrow = narrow, narrow.select("key", "size")
         got = hit.groupBy("parent", F.shiftright("key", finer).alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         by: dict[int, list] = {b: [] for b in next_ranges}
         for r in got:
@@ -97,13 +102,14 @@ def _part_of(key: Column, keys: list[int], lo: int, hi: int) -> Column:
     return F.when(key < F.lit(keys[mid]), _part_of(key, keys, lo, mid)).otherwise(_part_of(key, keys, mid + 1, hi))
 
 
-def shard(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", shards: int = 8, parts: int | None = None, tolerance: float = 0.02) -> DataFrame:
+def shard(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", shards: int = 8, parts: int | None = None, tolerance: float = 0.0) -> DataFrame:
     """Rows dealt into shards of near equal bytes: (row struct, size long, shard int, slot long).
 
-    The law is `bytes`: a row's size is its text's UTF-8 bytes (null: none) plus 1, and the sizes of the shards
-    differ by tolerance of one part at most, or by the one row that no boundary can cut. Equal texts share the upper
+    The law is `bytes`: a row's size is its text's UTF-8 bytes (null: none) plus 1, and a boundary misses the equal
+    share by tolerance of one part at most, or by half of the one key that no boundary can cut: with tolerance 0 the
+    histograms are refined until each boundary lies beside one key. Equal texts share the upper
     bits of the key, so they stay in one shard, in neighbouring slots, unless a boundary has to cut their group to
-    keep the law. Each shard is made of parts (in all at least spark.sql.shuffle.partitions): a part is one task of
+    keep the law. Each shard is made of parts (in all at least spark.sql.shuffle.partitions, and enough for PART_BYTES each): a part is one task of
     the only exchange that moves texts, so a shard of any size is never gathered in one task; a slot is the number of
     rows of the shard's earlier parts, which the histogram knows, plus the row's number in its part.
 
@@ -113,12 +119,13 @@ def shard(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", shar
     spark = df.sparkSession
     if parts is None:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per = max(1, -(-parts // shards))
-    parts = per * shards
     keyed = packed(df).select("row", (text_bytes(F.col(f"row.`{text_col}`")) + 1).alias("size"), sort_key(F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`")).alias("key"))
     stage = Staging(spark)
     try:
-        found = find_splitters(stage.table(keyed.select("key", "size")), parts, tolerance)
+        narrow = stage.table(keyed.select("key", "size"))
+        per = max(1, -(-parts // shards), -(-(narrow.agg(F.sum("size")).first()[0] or 0) // (shards * PART_BYTES)))
+        parts = per * shards
+        found = find_splitters(narrow, parts, tolerance, stage)
     finally:
         stage.close()
     rows = [0, *found.rows]
