@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, cut, join_small, shared_dir
+from orrery.llm.common import Staging, cut, delete, join_small, shared_dir
 
 #: Fixed values of the public formats (Zstandard frames, WARC-Zstandard, WARC 1.1).
 FRAME_MAGIC = 0xFD2FB528
@@ -173,9 +173,10 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 # --- tables --------------------------------------------------------------------------------------------------------
 
 
-def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, records: int = 2000, dictionary_bytes: int = 32_768, samples: int = 128, sample_bytes: int = 8192, level: int = 3) -> None:
-    """One record per row into archives under path, each of at most `records` records, by Spark's own text writer.
+def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", revisit_bytes: int = 0, records: int = 2000, dictionary_bytes: int = 32_768, samples: int = 128, sample_bytes: int = 8192, level: int = 3, archive_bytes: int = 32 << 20) -> None:
+    """One record per row into archives under path, by Spark's own text writer.
 
+    An archive has at most `records` records and archive_bytes bytes, or a single record: a reader's task holds one.
     Of rows with equal payloads of at least revisit_bytes bytes the one with the largest id is the response and the
     others revisit it; rows that repeat that id as well are responses too. A null payload is empty, a null URI has no
     header, a null id is written as null and counts as the smallest. The dictionary is fitted on the `samples`
@@ -188,7 +189,9 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col
     stage = Staging(df.sparkSession)
     try:
         twice = stage.table(keyed.where(F.length("payload") >= revisit_bytes).groupBy("sha").agg(F.max("order").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n"))
-        shown = raw.select(F.xxhash64("id").alias("h"), "id", F.substring("payload", 1, sample_bytes).alias("p")).orderBy("h", "id").limit(samples).collect()
+        share = min(1.0, 2 * (samples + 50) / max(1, raw.count()))  # so that sorting sees about 2 * samples rows at any size
+        hashed = raw.select(F.shiftrightunsigned(F.xxhash64("id"), 24).alias("h"), "id", F.substring("payload", 1, sample_bytes).alias("p"))
+        shown = hashed.where(F.col("h") < int(share * 2**40)).orderBy("h", "id").limit(samples).collect()
         dictionary = train_dictionary([bytes(r["p"]) for r in shown if r["p"]], dictionary_bytes)
         linked = join_small(keyed, twice.withColumnRenamed("sha", "s"), (F.col("sha") == F.col("s")) & (F.length("payload") >= revisit_bytes), "left")
         revisits = F.col("s").isNotNull() & ~F.col("order").eqNullSafe(F.col("target"))
@@ -196,29 +199,31 @@ def write_archives(df: DataFrame, path: str, *, id_col: str = "page_id", uri_col
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
-            lead, written = skippable(DICTIONARY_MAGIC, dictionary), 0
+            lead = skippable(DICTIONARY_MAGIC, dictionary)
+            held: list[bytes] = []
+            size = 0
+
+            def archive() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([lead, b"".join(held)], pa.binary())], ["frame"])
+
             for batch in batches:
-                out: list[bytes] = []
-                held = 0
                 columns = [batch.column(i) for i in range(5)]
                 for i in range(batch.num_rows):
                     ident, uri, payload, sha, target = (c[i].as_py() for c in columns)
-                    if written % records == 0:
-                        out.append(lead)
                     digest = base64.b32encode(bytes.fromhex(sha)).decode()
                     plain = record_bytes(f"urn:page:{'null' if ident is None else ident}", uri, payload, digest, None if target is None else f"urn:page:{target}")
-                    out.append(coder.compress(plain))
-                    held += len(out[-1])
-                    written += 1
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-                        out, held = [], 0
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-
-        # bytes pass a cast to string unchanged; each file starts with the dictionary as files are cut every records + 1 rows
+                    frame = coder.compress(plain)
+                    if held and (len(held) == records or size + len(frame) > archive_bytes):
+                        yield archive()
+                        held, size = [], 0
+                    held.append(frame)
+                    size += len(frame)
+            if held:
+                yield archive()
+
+        # bytes pass a cast to string unchanged; a file is two rows, the dictionary and the records' frames
         encoded = ready.mapInArrow(encode, "frame binary").select(F.col("frame").cast("string").alias("value"))
-        encoded.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", records + 1).text(path)
+        encoded.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 2).text(path)
     finally:
         stage.close()
 
@@ -261,4 +266,4 @@ def op10_query(spark, sf_dir: str) -> DataFrame:
     try:
         return cut(back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")))
     finally:
-        Staging(spark)._delete(root)
+        delete(spark, root)
