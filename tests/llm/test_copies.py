@@ -1,5 +1,6 @@
 """Near copies, repeats, vectors, toxicity, licences and the pipeline."""
 
+import os
 import random
 import textwrap
 from collections import Counter, defaultdict
@@ -7,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from orrery.llm import common, licenses, minhash, suffixes, toxicity, vectors
 from tests.llm.conftest import PASSAGE, words
@@ -166,6 +169,9 @@ def test_prefix_grams():
         x, y = h.of(a), h.of(b)
         if minhash.similar(a, b):
             n += 1
+            most = int(0.2 * max(len(a), len(b)) + 1e-9)
+            only = [sum((p & ~q & (2**64 - 1)).bit_count() for p, q in zip(*map(lambda w: minhash.word_marks(w).tolist(), z), strict=True)) for z in ((x, y), (y, x))]
+            assert max(only) <= most
             assert set(minhash.prefix_grams(x, 0.8, counts).tolist()) & set(minhash.prefix_grams(y, 0.8, counts).tolist())
     assert n > 1000
 
@@ -259,20 +265,54 @@ def test_vectors(spark, shard_rows):
     assert [got[i].component_id for i in range(len(x))] == component
     assert all(got[900 + n].n_links == 0 and got[900 + n].component_id == 900 + n for n in range(len(odd)))
     if shard_rows == 1000:
-        assert vectors.audit_recall(df.where("vec_id < 900"), queries=30) >= 0.99
+        share, links = vectors.audit_recall(df.where("vec_id < 900"), queries=30)
+        assert share >= 0.99 and links > 100
         assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_extreme_vectors(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [1e200, 1e200]), (5, [2e200, 2e200]), (6, [1e-300, 0.0]), (7, [5.0, 0.0]), (7, [0.0, -2.0]), (8, [5.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "clash", 9) for i, v in rows], "vec_id long, embedding array<double>, key string, copies int")
+    got = Counter((r.id, r.n_links, r.component_id) for r in vectors.near_vectors(df).collect())
+    assert got == Counter([(1, 2, 1), (2, 2, 2), (3, 0, 3), (4, 2, 1), (5, 2, 1), (6, 3, 2), (7, 3, 2), (7, 0, 7), (8, 3, 2)])
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+def test_vector_recall_over_many_shards(spark, kind):
+    """Of 4000 vectors in some 20 shards, 600 pairs of them planted a little above the threshold, nearly all links are found."""
+    r = np.random.default_rng(7)
+    base = r.normal(size=(2800, 32))
+    if kind == "clustered":
+        base = r.normal(size=(25, 32))[r.integers(0, 25, 2800)] * 1.2 + base
+    unit = vectors.unit_rows(base)
+    twin = vectors.unit_rows(r.normal(size=(600, 32)))
+    twin -= (twin * unit[:600]).sum(axis=1, keepdims=True) * unit[:600]
+    angle = np.arccos(r.uniform(0.951, 0.97, (600, 1)))
+    x = np.concatenate([unit, np.cos(angle) * unit[:600] + np.sin(angle) * vectors.unit_rows(twin)])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    true = (x @ x.T >= 0.95).sum(axis=1) - 1
+    got = {v.id: v.n_links for v in vectors.near_vectors(df, shard_rows=300).collect()}
+    assert all(got[i] <= true[i] for i in got)
+    assert true.sum() >= 1200 and sum(got.values()) >= 0.98 * true.sum()
+
+
 def test_block_max_index():
     r = random.Random(5)
-    made = [{r.randrange(30): r.random() for _ in range(r.randrange(1, 6))} for _ in range(300)]
-    index = toxicity.BlockMaxIndex.build(made, width=16)
-    for _ in range(60):
-        q = {r.randrange(35): r.random() for _ in range(r.randrange(0, 6))}
-        every = sorted((-sum(w * v.get(t, 0.0) for t, w in q.items()), i) for i, v in enumerate(made))
+    made = []
+    for _ in range(300):
+        ids = sorted(r.sample(range(30), r.randrange(1, 6)))
+        made.append((np.array(ids), np.array([r.random() for _ in ids])))
+    index = toxicity.BlockMaxIndex(made, 40, width=16)
+    for _ in range(200):
+        ids = np.array(sorted(r.sample(range(40), r.randrange(0, 6))), np.int64)
+        w = np.array([r.random() for _ in ids])
+        every = sorted((-sum(x * dict(zip(*v, strict=True)).get(t, 0.0) for t, x in zip(ids.tolist(), w.tolist())), i) for i, v in enumerate(made))
         want = [(i, -s) for s, i in every if s < 0][:7]
-        got = index.nearest(q, 7)
+        got = index.nearest(ids, w, 7)
         assert [s for s, _ in got] == pytest.approx([s for _, s in want])
+    tied = toxicity.BlockMaxIndex([(np.array([1]), np.ones(1))] * 40, 2, width=4)
+    assert [i for _, i in tied.nearest(np.array([1]), np.ones(1), 5)] == [0, 1, 2, 3, 4]
+    assert toxicity.BlockMaxIndex([], 3).nearest(np.array([1]), np.ones(1), 5) == []
 
 
 def toxic_tables(spark, n=400):
@@ -298,8 +338,12 @@ def test_toxicity(spark):
     assert np.mean(right) > 0.98 and all(0 <= r.score <= 1 for r in got.values())
     assert got[402].score > 0.5 > got[401].score and got[401].score == got[400].score and got[0].evidence
     assert toxicity.score(docs.limit(0), model).count() == 0
-    none = toxicity.fit(docs, labels.limit(0))
-    assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
+    again = toxicity.score(docs.union(docs).withColumn("score", F.lit("clash")).withColumn("row", F.lit(1)), model).select("row.doc_id", "row.score", F.col("score").alias("s")).collect()
+    assert len(again) == 2 * docs.count() and all(r.score == "clash" and r.s == pytest.approx(got[r.doc_id].score) for r in again)
+    for kind in (labels.limit(0), labels.where("toxic = 0"), labels.where("toxic = 1")):
+        assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, kind)).collect()} == {0.0}
+    few = toxicity.fit(docs, labels, max_labelled=100)
+    assert 0 < few.index.n <= 100
 
 
 def test_licenses(spark):
@@ -324,6 +368,32 @@ def test_wrapped_headers():
     assert m.scan("\n".join(textwrap.wrap(words(2, 300), 60))) is None
 
 
+@pytest.mark.parametrize(("name", "license"), [("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.3", "GFDL-1.3")])
+def test_license_files(name, license):
+    path = f"/usr/share/common-licenses/{name}"
+    if not os.path.exists(path):
+        pytest.skip("no such file here")
+    got = licenses.Matcher({"the": 900, "license": 30, "under": 200, "of": 900, "and": 900, "to": 800}, 1000).scan(open(path, encoding="utf-8").read())
+    assert got and got[1] == license
+
+
+def test_full_texts():
+    m = licenses.Matcher({"the": 900, "license": 30, "under": 200}, 1000)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            wrapped = "\n".join(textwrap.wrap(text, 72))
+            assert m.scan(f"Copyright (c) someone\n\n{wrapped}\n")[1] == name
+            assert m.scan(f"// {wrapped}\n".replace("\n", "\n// ") + words(2, 200))[1] == name
+
+
+def test_license_ties(spark):
+    mit, text = licenses.TEMPLATES["MIT"][0], f"{licenses.TEMPLATES['MIT'][0]}\n{licenses.TEMPLATES['Apache-2.0'][0]}"
+    rows = [("a/x", text), ("a/x", text), ("a/y", ""), ("a/z", f"{words(1, 60_000)}\n{mit}"), ("a/LICENSE", mit), ("a/COPYING", licenses.TEMPLATES["ISC"][0])]
+    df = spark.createDataFrame([(p, t, 1, "x") for p, t in rows], "path string, text string, dir int, key string")
+    got = Counter((r.path, r.license, r.origin) for r in licenses.scan_licenses(df).select("row.path", "license", "origin").collect())
+    assert got == Counter([("a/x", "Apache-2.0", "header")] * 2 + [("a/y", "ISC", "inherited"), ("a/z", "MIT", "header"), ("a/LICENSE", "MIT", "file"), ("a/COPYING", "ISC", "file")])
+
+
 def test_matcher_skips_nothing():
     m = licenses.Matcher({"the": 900, "license": 30, "under": 200}, 1000)
     every = licenses.Matcher({"the": 900, "license": 30, "under": 200}, 1000)
@@ -355,3 +425,17 @@ def test_pipeline(spark, tmp_path):
     assert sum(PASSAGE in r.text for r in cut.values() if r.text) == 1 and {1001, 1002} <= set(cut) and cut[1].text == tox[1].text
     assert set(mix) < set(cut) and set(last) == set(mix) and all(r.n_tokens == len(r.ids) for r in last.values())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mix)
+
+
+def test_pipeline_without_rows_or_labels(spark, tmp_path):
+    docs, labels = toxic_tables(spark, 30)
+    rows = [(r.doc_id, r.text, "en", "s", len(r.text or ""), "clash", 5) for r in docs.collect()]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row string, key int"
+    for name, found, known in (("empty", [], labels), ("unlabelled", rows, labels.limit(0)), ("clean", rows, labels.where("toxic = 0"))):
+        spark.createDataFrame(found, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert corpus_pipeline.drop_toxic(spark, kept, f"{tmp_path}/{name}").count() == len(found)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    out = corpus_pipeline.run(spark, f"{tmp_path}/unlabelled")
+    assert 0 < out.count() <= len(rows)
