@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import ieee
 from orrery.operators.bins import Binning
-from orrery.operators.pairs import Box, pairs
-
-#: Average points in a cell above which cells of half the reach pay for their more numerous neighbours.
-DENSE = 12.0
+from orrery.operators.pairs import Box, pair_sums
 
 
 def totals(df: DataFrame) -> tuple[int, float]:
@@ -27,26 +24,15 @@ def norm(left: tuple[int, float], right: tuple[int, float] | None, weighted: boo
     return float(left[i] * (left[i] - 1)) if right is None else float(left[i] * right[i])
 
 
-def refinement(n: int, binning: Binning, box: Box | None) -> int:
-    """2 where a box's cells would be dense, else 1."""
-    if not box:
-        return 1
-    from orrery.operators.pairs import reach
-
-    volume = box.x * box.y * box.z
-    return 2 if n * math.prod(reach(binning, box)) / volume > DENSE else 1
-
-
-def pair_counts(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box | None = None, *, weighted: bool = False, salt: int = 1, sizes: tuple | None = None) -> DataFrame:
+def pair_counts(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box | None = None, *, weighted: bool = False, sizes: tuple | None = None) -> DataFrame:
     """Dense counts by bin: the columns of Binning.table with cnt (long, or double if weighted), norm and ncnt.
 
     Pairs within one catalogue count twice. sizes: totals() of both sides, where they are known; else they are counted.
     """
     spark = left.sparkSession
     sizes = sizes or (totals(left), None if right is None else totals(right))
-    found = pairs(left, right, binning, box, refine=refinement(sizes[0][0], binning, box), salt=salt)
     times = 2 if right is None else 1
-    summed = found.groupBy("s_idx", "j_idx").agg(((F.sum("w") if weighted else F.count("*")) * times).alias("found"))
+    summed = pair_sums(left, right, binning, box).select("s_idx", "j_idx", (F.col("w" if weighted else "n") * times).alias("found"))
     dense = binning.table(spark).join(summed, ["s_idx", "j_idx"], "left")
     zero = F.lit(0.0) if weighted else F.lit(0).cast("long")
     return normalised(dense.withColumn("cnt", F.coalesce("found", zero)).drop("found"), norm(*sizes, weighted))
@@ -71,5 +57,5 @@ def analytic_counts(binning: Binning, box: Box, spark) -> DataFrame:
 
 def distance_histogram(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box | None = None) -> DataFrame:
     """Pairs by distance, each once: s_idx, s_min, s_max, n."""
-    summed = pairs(left, right, binning, box).groupBy("s_idx").agg(F.count("*").alias("found"))
+    summed = pair_sums(left, right, binning, box).groupBy("s_idx").agg(F.sum("n").alias("found"))
     return binning.table(left.sparkSession).join(summed, "s_idx", "left").select("s_idx", "s_min", "s_max", F.coalesce("found", F.lit(0)).alias("n"))

@@ -1,4 +1,4 @@
-"""The pair join: all pairs of points within reach, by an equi-join on grid cells."""
+"""All pairs of points within reach: as rows, by an equi-join on grid cells, or summed by bin, tile by tile of space."""
 
 from __future__ import annotations
 
@@ -6,11 +6,18 @@ import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import kernel
 from orrery.operators.bins import Binning, mu_index
 
+#: Points that a block of cells should hold on average, points of either side in a tile at most, and points in a cell
+#: from which cells are cut finer.
+BLOCK_POINTS, TILE_POINTS, CELL_POINTS = 4_000, 100_000, 40.0
+
 
 @dataclass(frozen=True)
 class Box:
@@ -193,3 +200,108 @@ def pairs(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box |
     # never null: else joins on these keys push a test of all that arithmetic into the range condition
     known = [F.coalesce(c.cast("int"), F.lit(-1)).alias(n) for c, n in ((binning.s.index(F.col("s2"), squared=True), "s_idx"), (j, "j_idx"))]
     return kept.select(*known, "w")
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    """Rows whose positions are numbers (NULL and NaN are none, and the infinite ones have no partners)."""
+    return df.where(" and ".join(f"abs({a}) < double('infinity')" for a in "xyz"))
+
+
+def _crowding(cells: DataFrame) -> tuple[int, float]:
+    """Points of a table (cells, n), and how many points the average point has in its cell."""
+    n, square = cells.agg(F.sum("n"), F.sum(F.col("n") * F.col("n").cast("double"))).first()
+    return n or 0, (square or 0.0) / (n or 1)
+
+
+def pair_sums(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box | None = None) -> DataFrame:
+    """Pairs in range by bin: (s_idx, j_idx, n long, w double), w the sum of the products of weights; empty bins are absent.
+
+    Both sides are catalog()s; right None: each pair of left once. Positions outside a box are moved into it. Space is
+    cut into cells no smaller than the reach and these into blocks of cells. A point goes to its own block as a first
+    point, and as a partner to the few blocks that hold a neighbour of its cell (for pairs within one catalogue those
+    on one side, so that no pair meets twice): each row is copied two or three times, not once for each neighbour, and
+    one exchange deals them out. A task compares the points of a block cell by cell on arrays and returns sums by bin.
+
+    Block counts are taken first. Where a block is crowded its points are dealt by a hash of their ids into tiles of
+    TILE_POINTS first points and as many partners, which meet tile by tile, so no task holds a crowded place; and
+    cells are cut finer where the average point has many in its own. Pairs that nothing tells apart have to be
+    compared one by one: a place of m points within one reach costs m * m comparisons, over any number of tasks.
+    """
+    if box and any(2 * r >= side for r, side in zip(reach(binning, box), box.sides, strict=True)):
+        raise ValueError("separations have to stay below half of each side of the box")
+    far, auto = reach(binning, box), right is None
+    left = _finite(wrapped(left, box) if box else left)
+    right = left if auto else _finite(wrapped(right, box) if box else right)
+    coarse = Grid.of(far, box, 1)
+    names = ["c0", "c1", "c2"]
+
+    def counted(df: DataFrame, grid: Grid) -> DataFrame:
+        return df.select(*[c.alias(n) for n, c in zip(names, grid.cell((F.col("x"), F.col("y"), F.col("z"))), strict=True)]).groupBy(*names).agg(F.count("*").alias("n"))
+
+    cells = counted(left, coarse).persist()
+    others = cells if auto else counted(right, coarse).persist()
+    try:
+        n, crowd = _crowding(cells)
+        refine = max(1, min(4, round((max(crowd, _crowding(others)[1]) / CELL_POINTS) ** (1 / 3))))
+        per = max(1, round((BLOCK_POINTS / max(1.0, crowd)) ** (1 / 3)))
+        block = lambda c: F.floor(F.col(c) / F.lit(per)).cast("int").alias("b" + c[1:])
+        keys = ["b0", "b1", "b2"]
+        most = None
+        for side in (cells,) if auto else (cells, others):
+            blocks = side.groupBy(*[block(c) for c in names]).agg(F.sum("n").alias("n")).where(F.col("n") > TILE_POINTS)
+            most = blocks if most is None else most.union(blocks)
+        most = most.groupBy(*keys).agg(F.ceil(F.max("n") / F.lit(float(TILE_POINTS))).cast("int").alias("parts")).persist()
+        crowded = not most.isEmpty()
+    finally:
+        cells.unpersist()
+        others.unpersist()
+
+    # cells of the grid that is searched lie within those that make the blocks
+    fine = Grid(tuple(s / refine for s in coarse.size), coarse.cells and tuple(c * refine for c in coarse.cells), tuple(s * refine for s in coarse.spread))
+    offsets = fine.offsets(None if box and binning.scheme == "spi" else far[0] ** 2)
+    half = auto and fine.halved(offsets)
+    if half:
+        offsets = [o for o in offsets if o >= (0, 0, 0)]
+    tile = kernel.Tile(binning, box and box.sides, fine.cells, tuple(offsets), "none" if not auto else "own" if half else "all")
+
+    def dealt(df: DataFrame, partner: bool) -> DataFrame:
+        held = df.select("id", "x", "y", "z", "w", *[c.alias(n) for n, c in zip(names, fine.cell((F.col("x"), F.col("y"), F.col("z"))), strict=True)])
+        if partner:
+            # blocks of the cells from which a step leads here; a step of up to one coarse cell either way on each axis
+            steps = sorted({tuple(-(-abs(v) // refine) * (1 if v > 0 else -1) for v in o) for o in offsets})
+
+            def at(axis: int, step: int) -> Column:
+                c = F.floor(F.col(names[axis]) / F.lit(refine)) - F.lit(step)
+                if coarse.cells:
+                    c = F.pmod(c, F.lit(coarse.cells[axis]))
+                return F.floor(c / F.lit(per)).cast("int")
+
+            # a finer step may stay in the coarse cell, so the shorter steps are there as well
+            every = sorted({p for s in steps for p in itertools.product(*[range(min(0, v), max(0, v) + 1) for v in s])})
+            where = F.array_distinct(F.array(*[F.struct(*[at(i, s[i]).alias(k) for i, k in enumerate(keys)]) for s in every]))
+            held = held.select(F.inline(where), F.lit(True).alias("partner"), "id", "x", "y", "z", "w", *names)
+        else:
+            held = held.select(*[F.floor(F.col(c) / F.lit(refine * per)).cast("int").alias(k) for c, k in zip(names, keys, strict=True)], F.lit(False).alias("partner"), "id", "x", "y", "z", "w", *names)
+        if not crowded:
+            return held.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+        held = held.join(most, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64("id", F.lit(partner)), F.col("parts")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        first, second = (every, own) if partner else (own, every)
+        return held.withColumn("i", first).withColumn("j", second).drop("parts")
+
+    kinds = pa.schema([("s_idx", pa.int32()), ("j_idx", pa.int32()), ("n", pa.int64()), ("w", pa.float64())])
+
+    def count(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        partner = column("partner")
+        values = {"id": column("id"), "place": np.stack([column(c) for c in "xyz"]), "w": column("w"), "cell": np.stack([column(c) for c in names], axis=1)}
+        a, b = ({k: v[:, of] if k == "place" else v[of] for k, v in values.items()} for of in (~partner, partner))
+        number, weight = kernel.sums(a, b, tile)
+        at = np.flatnonzero(number)
+        found = [at // binning.second, at % binning.second, number[at], weight[at]]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(found, kinds.types, strict=True)], schema=kinds)
+
+    rows = dealt(left, False).union(dealt(right, True))
+    found = rows.groupBy(*keys, "i", "j").applyInArrow(count, "s_idx int, j_idx int, n long, w double")
+    return found.groupBy("s_idx", "j_idx").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))

@@ -24,10 +24,11 @@ SPI = Binning("spi", Edges.linear(0, 40, 5), pi=Edges.linear(0, 40, 4))
 WIDE = Binning("iso", Edges.linear(10, 60, 10))
 WIDE_SMU = Binning("smu", Edges.linear(10, 60, 10), n_mu=5)
 WIDE_SPI = Binning("spi", Edges.linear(10, 60, 10), pi=Edges.linear(0, 60, 12))
+MU_ONE = Binning("smu", Edges.linear(0, 60, 6), n_mu=4, mu_one=True)
 CUSTOM = Binning("iso", Edges.pairs([(1.0, 2.5), (2.5, 7.0), (7.0, 19.0), (19.0, 23.0), (23.0, 55.0)]))
 LOG = Binning("iso", Edges.logarithmic(1.0, 64.0, 6))
-KNOTS = ([0.9, 0.0, 0.2, 0.4, 0.05, 0.7], [2212.0, 0.0, 571.0, 1077.0, 148.0, 1759.0])
-COSMOLOGY, GL_ORDER = cosmology.Cosmology(0.31), 12
+KNOTS = ([0.96, 0.0, 0.2, 0.4, 0.05, 0.7], [2327.0, 0.0, 571.0, 1077.0, 148.0, 1759.0])
+COSMOLOGY, GL_ORDER, CHOSEN_ERROR = cosmology.Cosmology(0.31), 12, 1e-5
 
 
 # --- catalogues ----------------------------------------------------------------------------------------------------
@@ -82,7 +83,7 @@ def _count_sql(name: str, left: str, right: str, b: Binning, box: bool, weighted
     keep = f"s2 >= {b.s.low**2!r} AND s2 < {b.s.high**2!r}"
     j = "0"
     if b.scheme == "smu":
-        j = f"CASE WHEN s2 <= 0 THEN 0 WHEN floor(along * {float(b.n_mu**2)} / s2) < {b.n_mu**2} THEN floor(sqrt(floor(along * {float(b.n_mu**2)} / s2)))::INT END"
+        j = f"CASE WHEN s2 <= 0 THEN 0 WHEN floor(along * {float(b.n_mu**2)} / s2) < {b.n_mu**2} THEN floor(sqrt(floor(along * {float(b.n_mu**2)} / s2)))::INT{f' ELSE {b.n_mu - 1}' if b.mu_one else ''} END"
     elif b.scheme == "spi":
         j = "j_edges.j_idx"
     p = (lambda e: e) if box else (lambda e: f"{e} * {e}")
@@ -107,26 +108,32 @@ def _counts_sql(b: Binning, box: bool, left: tuple = ("d", DATA), right: tuple |
     return f"WITH {', '.join(parts)} SELECT s_idx, j_idx, s_min, s_max, j_min, j_max, cnt::{kind} AS cnt, norm, round(ncnt, 15) AS ncnt FROM c"
 
 
-def _counted(b: Binning, box: Box | None, cross: bool = False, weighted: bool = False):
+def _counted(b: Binning, box: Box | None, cross: bool = False, weighted: bool = False, one_sided: bool = False):
+    """one_sided: only the left catalogue has weights, and the pairs are weighted all the same."""
     shift = 0.0 if box else 2000.0
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         right = points(spark, sf_dir, primes=RANDOM, shift=shift) if cross else None
+        right = right.withColumn("w", F.lit(1.0)) if one_sided else right
         return _counts(counts.pair_counts(points(spark, sf_dir, shift=shift), right, b, box, weighted=weighted), weighted)
 
-    return run, _counts_sql(b, box is not None, right=("r", RANDOM) if cross else None, weighted=weighted)
+    sql = _counts_sql(b, box is not None, right=("r", RANDOM) if cross else None, weighted=weighted)
+    if one_sided:
+        head, mark, rest = sql.partition("r AS (")
+        sql = head + mark + rest.replace("(1 + o_custkey % 3)::DOUBLE AS w", "1.0::DOUBLE AS w", 1)
+    return run, sql
 
 
 # --- estimators ----------------------------------------------------------------------------------------------------
 
 
-def _natural(b: Binning, product: str | None = None):
+def _natural(b: Binning, product: str | None = None, orders: tuple[int, ...] = (0, 2, 4)):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         dd = counts.pair_counts(points(spark, sf_dir), None, b, BOX)
         xi = estimators.estimate({"DD": dd, "@@": counts.analytic_counts(b, BOX, spark)}, "DD / @@ - 1")
         if product == "multipoles":
-            out = estimators.multipoles(xi, [0, 2, 4], b.n_mu)
-            return out.select("s_idx", "s_cen", "s_min", "s_max", *[F.round(c, 8).alias(c) for c in ("xi_0", "xi_2", "xi_4")])
+            out = estimators.multipoles(xi, orders, b.n_mu)
+            return out.select("s_idx", "s_cen", "s_min", "s_max", *[F.round(f"xi_{l}", 8).alias(f"xi_{l}") for l in orders])
         if product == "wp":
             return estimators.projected(xi).select("s_idx", "s_cen", "s_min", "s_max", F.round("wp", 8).alias("wp"))
         return xi.select("s_idx", "j_idx", "s_min", "s_max", F.round("xi", 8).alias("xi"))
@@ -139,8 +146,9 @@ def _natural(b: Binning, product: str | None = None):
     head = f"WITH {_points_sql('d')}, {', '.join(_bins_sql(b))}, {_count_sql('c', 'd', 'd', b, True)}, xi AS (SELECT *, ncnt / {rr} - 1 AS xi FROM c)"
     if product == "multipoles":
         mu = f"((j_idx + 0.5) / {float(b.n_mu)})"
-        terms = {0: "1.0", 2: f"(1.5 * {mu} * {mu} - 0.5)", 4: f"(4.375 * {mu} * {mu} * {mu} * {mu} - 3.75 * {mu} * {mu} + 0.375)"}
-        sums = ", ".join(f"round(sum(xi * {(2 * l + 1) / b.n_mu!r} * {p}), 8) AS xi_{l}" for l, p in terms.items())
+        power = lambda n: " * ".join(["1.0::DOUBLE", *[mu] * n])
+        terms = {l: " + ".join(f"({c!r}::DOUBLE * {power(n)})" for n, c in enumerate(np.polynomial.legendre.leg2poly([0.0] * l + [1.0]).tolist())) for l in orders}
+        sums = ", ".join(f"round(sum(xi * {(2 * l + 1) / b.n_mu!r} * ({p})), 8) AS xi_{l}" for l, p in terms.items())
         return run, f"{head} SELECT s_idx, (s_min + s_max) / 2 AS s_cen, s_min, s_max, {sums} FROM xi GROUP BY ALL"
     if product == "wp":
         return run, f"{head} SELECT s_idx, (s_min + s_max) / 2 AS s_cen, s_min, s_max, round(sum(2 * xi * (j_max - j_min)), 8) AS wp FROM xi GROUP BY ALL"
@@ -149,7 +157,7 @@ def _natural(b: Binning, product: str | None = None):
 
 def _landy_szalay(b: Binning, weighted: bool = False):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d, r = points(spark, sf_dir, shift=2000.0), points(spark, sf_dir, primes=RANDOM, shift=2000.0)
+        d, r = points(spark, sf_dir, shift=2000.0).persist(), points(spark, sf_dir, primes=RANDOM, shift=2000.0).persist()
         both = counts.totals(d), counts.totals(r)
         tables = {
             "DD": counts.pair_counts(d, None, b, weighted=weighted, sizes=(both[0], None)),
@@ -207,6 +215,17 @@ def selection_bitwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 BITWISE_SQL = "SELECT p_partkey::BIGINT AS p_partkey, p_size::BIGINT AS p_size FROM part WHERE ((p_partkey & 5) <> 0 AND xor(p_size, 3) > 7) OR (p_partkey >> 2) = (p_size::BIGINT << 1) OR p_size % 10 = 0"
 
 
+def selection_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    types = {"1": "long", "2": "long"}
+    chosen = parts.where(expr.as_bool(expr.parse("$1 < 40 || $1 >= 150 && $1 <= 170 || ($2 | 4) == 5 || (~$1 & 63) == 0 || sqrt($2) > 7 && $2 <= 49 || sqrt($2 + 0.0) == 3"), _column(["p_partkey", "p_size"]), types.__getitem__))
+    root = expr.as_double(expr.parse("sqrt($1) * 2"), _column(["p_partkey", "p_size"]))
+    return chosen.select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("p_size").cast("long").alias("p_size"), F.round(root, 9).alias("root"))
+
+
+COMPARISONS_SQL = "SELECT p_partkey::BIGINT AS p_partkey, p_size::BIGINT AS p_size, round(sqrt(p_partkey) * 2, 9) AS root FROM part WHERE p_partkey < 40 OR (p_partkey >= 150 AND p_partkey <= 170) OR (p_size | 4) = 5 OR ((~p_partkey::BIGINT) & 63) = 0 OR (sqrt(p_size) > 7 AND p_size <= 49) OR sqrt(p_size) = 3"
+
+
 def expr_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     forms = {"power_left": "2 ** 3 ** 2 + $1 - $1", "minus_first": "-2 ** 2 + $1 * 0", "mixed": "1 + $1 * 3 % 7 / 2 - 4", "logs": "log(100 + $1 * 0) + ln(1 + 0 * $1)", "nested": "abs(3 - $1) * (2 - $1 % 2)"}
@@ -234,16 +253,20 @@ def coord_convert_gl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(cosmology.to_cartesian(sky, "ra", "dec", COSMOLOGY.distance_column(F.col("red"), GL_ORDER)))
 
 
-def _gl_sql() -> str:
-    node, weight = np.polynomial.legendre.leggauss(GL_ORDER)
+def coord_convert_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quadrature order is chosen from the table's redshifts and the relative error."""
+    return _rounded(cosmology.convert(_sky(spark, sf_dir), "ra", "dec", "red", COSMOLOGY, CHOSEN_ERROR))
+
+
+def _gl_sql(order: int = GL_ORDER) -> str:
+    node, weight = np.polynomial.legendre.leggauss(order)
     rows = ", ".join(f"({float((n + 1) / 2)!r}::DOUBLE, {float(w)!r}::DOUBLE)" for n, w in zip(node, weight, strict=True))
     a = "(1 + red * t)"
     return f"WITH {_SKY_SQL}, nodes(t, wt) AS (VALUES {rows}), dist AS (SELECT id, ra, dec, red / 2 * sum(wt * {cosmology.HUBBLE_DISTANCE} / sqrt({COSMOLOGY.omega_m} * {a} * {a} * {a} + {COSMOLOGY.omega_l})) AS d FROM sky CROSS JOIN nodes GROUP BY id, ra, dec, red) SELECT id, {_CARTESIAN_SQL} FROM dist"
 
 
 def coord_convert_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sky = _sky(spark, sf_dir).where("red < 0.9")
-    return _rounded(cosmology.convert(sky, "ra", "dec", "red", cosmology.Spline(*KNOTS)))
+    return _rounded(cosmology.convert(_sky(spark, sf_dir), "ra", "dec", "red", cosmology.Spline(*KNOTS)))
 
 
 def _spline_sql() -> str:
@@ -259,6 +282,8 @@ _PAIRED = {
     "box_iso_weighted": _counted(ISO, BOX, weighted=True),
     "box_smu_dd": _counted(SMU, BOX),
     "box_smu_cross_weighted": _counted(SMU, BOX, cross=True, weighted=True),
+    "box_smu_mu_one": _counted(MU_ONE, BOX),
+    "box_iso_one_sided": _counted(ISO, BOX, cross=True, weighted=True, one_sided=True),
     "box_spi_dd": _counted(SPI, BOX),
     "box_spi_cross": _counted(SPI, BOX, cross=True),
     "sv_iso_dd": _counted(ISO, None),
@@ -273,6 +298,7 @@ _PAIRED = {
     "box_analytic_rr_spi": _analytic(SPI),
     "box_natural_xi": _natural(ISO),
     "box_multipoles": _natural(WIDE_SMU, "multipoles"),
+    "box_multipoles_all": _natural(WIDE_SMU, "multipoles", tuple(range(7))),
     "box_wp": _natural(WIDE_SPI, "wp"),
     "sv_landy_szalay": _landy_szalay(WIDE),
     "sv_landy_szalay_smu_weighted": _landy_szalay(WIDE_SMU, weighted=True),
@@ -280,8 +306,10 @@ _PAIRED = {
     "distance_hist_log": _histogram(LOG),
     "catalog_select": (catalog_select, CATALOG_SQL),
     "selection_bitwise": (selection_bitwise, BITWISE_SQL),
+    "selection_comparisons": (selection_comparisons, COMPARISONS_SQL),
     "expr_precedence": (expr_precedence, PRECEDENCE_SQL),
     "coord_convert_gl": (coord_convert_gl, _gl_sql()),
+    "coord_convert_chosen": (coord_convert_chosen, _gl_sql(COSMOLOGY.order_for(0.0, 0.94, CHOSEN_ERROR))),
     "coord_convert_spline": (coord_convert_spline, _spline_sql()),
 }
 

@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.operators import counts, estimators
 from orrery.operators.bins import Binning, Edges
-from orrery.operators.pairs import Box, catalog, pairs, wrapped
+from orrery.operators.pairs import Box, catalog, pair_sums, pairs, wrapped
 from orrery.streaming.counting import streamed_cross_counts
 
 L = 100.0
@@ -85,6 +86,32 @@ def test_brute_force(spark, name, boxed):
         assert pairs(da, None, binning, box).count() == pairs(da, None, binning, box, refine=2, salt=2).count()
 
 
+@pytest.mark.parametrize(("name", "boxed"), [("iso", True), ("smu_one", False), ("spi", True), ("spi_gap", False)])
+def test_tiles(spark, monkeypatch, name, boxed):
+    """Clustered points in small blocks, crowded tiles and fine cells, against the join that makes pairs."""
+    monkeypatch.setattr("orrery.operators.pairs.BLOCK_POINTS", 60)
+    monkeypatch.setattr("orrery.operators.pairs.TILE_POINTS", 45)
+    monkeypatch.setattr("orrery.operators.pairs.CELL_POINTS", 6.0)
+    monkeypatch.setattr("orrery.operators.kernel.CHUNK", 500)
+    binning, box, r = BINNINGS[name], Box.of(L) if boxed else None, np.random.default_rng(8)
+    spots = [np.floor(r.normal(c, 6, (60, 3))) for c in (5, 98)] + [np.floor(r.uniform(0, L, (40, 3)))]
+    a = np.concatenate(spots) + (0.0 if boxed else 300.0)
+    da, db = (frame(spark, p, 1.0 + np.arange(len(p)) % 3) for p in (a, a[::2] + 1.0))
+    inside = lambda df: wrapped(df, box) if boxed else df
+    for left, right in ((da, None), (da, db)):
+        want = pairs(inside(left), None if right is None else inside(right), binning, box).where("j_idx >= 0").groupBy("s_idx", "j_idx").agg(F.count("*"), F.sum("w")).collect()
+        assert {tuple(x) for x in pair_sums(left, right, binning, box).collect()} == {tuple(x) for x in want}
+
+
+def test_outside_the_box(spark):
+    iso = Binning("iso", Edges.linear(0, 20, 5))
+    df = frame(spark, np.array([(99.0, 0, 0), (-99.0, 0, 0), (201.5, 100.0, -100.0), (float("inf"), 0, 0), (1.0, float("nan"), 0)]), [1.0] * 5)
+    got = {r.s_idx: r.cnt for r in counts.pair_counts(df, None, iso, Box.of(L)).where("cnt > 0").collect()}
+    assert got == {0: 6}
+    none = df.where("id < 0")
+    assert pair_sums(none, None, iso).count() == 0 and pair_sums(none, df, iso, Box.of(L)).count() == 0
+
+
 def test_small_cases(spark):
     def run(points, binning, box=None, **more):
         df = frame(spark, np.array(points, float), [1.0] * len(points))
