@@ -46,6 +46,7 @@ KEYS: dict[str, tuple[str, str, Any, bool]] = {
     "SEP_BIN_MAX": ("", "d", None, False),
     "SEP_BIN_SIZE": ("", "d", None, False),
     "MU_BIN_NUM": ("", "i", None, False),
+    "MU_ONE": ("", "b", False, False),
     "PI_BIN_FILE": ("", "s", None, False),
     "PI_BIN_MIN": ("", "d", None, False),
     "PI_BIN_MAX": ("", "d", None, False),
@@ -259,7 +260,7 @@ def check(values: dict[str, Any], read) -> Run:
         raise ConfigError("BINNING_SCHEME is 0, 1 or 2")
     if values.get("DATA_STRUCT", 0) not in (0, 1):
         raise ConfigError("DATA_STRUCT is 0 or 1")
-    binning = Binning(scheme, _edges(values, "SEP", read), values.get("MU_BIN_NUM") if scheme == "smu" else None, _edges(values, "PI", read) if scheme == "spi" else None)
+    binning = Binning(scheme, _edges(values, "SEP", read), values.get("MU_BIN_NUM") if scheme == "smu" else None, _edges(values, "PI", read) if scheme == "spi" else None, bool(values.get("MU_ONE", False)))
     box = Box.of(values["BOX_SIZE"]) if values.get("BOX_SIZE") else None
     cosmology = None
     if any(flags) and not box and not values.get("Z_CMVDST_FILE"):

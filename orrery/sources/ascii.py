@@ -84,15 +84,22 @@ def _value(text: Column, kind: str) -> Column:
 
 
 def _lines(spark: SparkSession, path: str, skip: int, comment: str) -> DataFrame:
-    """The lines that hold data. The first `skip` lines of a file are dropped before comments and blanks are looked at.
+    """The lines that hold data. The first `skip` lines of each file are dropped before comments and blanks are looked at.
 
-    They lie in a file's first split; the row's number in its task then is its line's number, so no pass over the file
-    numbers them.
+    They lie in a file's first split. Its lines have consecutive numbers in their task, but the task may hold other
+    files before it; where there are several files, one more pass finds the number of each one's first line.
     """
     lines = spark.read.text(path)
     if skip:
-        numbered = lines.select("value", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("n"))
-        lines = numbered.where((F.col("start") > 0) | (F.col("n") >= skip)).select("value")
+        several = len(lines.inputFiles()) > 1
+        meta = F.col("_metadata")
+        numbered = lines.select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("n"))
+        if several:
+            first = numbered.where("start = 0").groupBy("file").agg(F.min("n").alias("first"))
+            numbered = numbered.join(first.withColumnRenamed("file", "f"), F.col("file") == F.col("f"), "left")
+        else:
+            numbered = numbered.withColumn("first", F.shiftleft(F.shiftright("n", 33), 33))
+        lines = numbered.where((F.col("start") > 0) | (F.col("n") - F.col("first") >= skip)).select("value")
     lines = lines.select(F.regexp_replace("value", r"^\s+", "").alias("value")).where("value <> ''")
     return lines.where(~F.col("value").startswith(comment)) if comment else lines
 

@@ -42,7 +42,14 @@ def test_ascii(spark, tmp_path):
     assert ascii.read_table(spark, p) == [(0.5, 10.0), (0.0, 0.0)]
 
 
-def write_fits(path, names, forms, columns):
+def test_skip_in_several_files(spark, tmp_path):
+    for n in range(5):
+        with open(f"{tmp_path}/{n}.txt", "w") as f:
+            f.write(f"head\nhead two\n{n} 1\n{n} 2\n")
+    assert sorted(rows(ascii.read_ascii(spark, str(tmp_path), "%d %d", skip=2))) == [(n, k) for n in range(5) for k in (1, 2)]
+
+
+def write_fits(path, names, forms, columns, scales={}):  # noqa: B006
     def card(key, value):
         return f"{key:<8}= {value:>20}".ljust(80)
 
@@ -50,13 +57,15 @@ def write_fits(path, names, forms, columns):
         return b + fill * (-len(b) % 2880)
 
     head = card("SIMPLE", "T") + card("BITPIX", "8") + card("NAXIS", "0") + "END".ljust(80)
-    kinds = {"D": ">f8", "J": ">i4", "3A": "S3", "L": "S1"}
-    data = np.zeros(len(columns[0]), np.dtype([(n, kinds[f]) for n, f in zip(names, forms)]))
+    kinds = {"D": ">f8", "J": ">i4", "I": ">i2", "B": "u1", "K": ">i8", "E": ">f4", "2J": (">i4", 2), "3A": "S3", "L": "S1"}
+    data = np.zeros(len(columns[0]), np.dtype([(n, *(k if isinstance(k := kinds[f], tuple) else (k,))) for n, f in zip(names, forms)]))
     for n, c in zip(names, columns):
         data[n] = c
     table = card("XTENSION", "'BINTABLE'") + card("BITPIX", "8") + card("NAXIS", "2") + card("NAXIS1", data.itemsize) + card("NAXIS2", len(data)) + card("PCOUNT", "0") + card("GCOUNT", "1") + card("TFIELDS", len(names))
     for n, (name, form) in enumerate(zip(names, forms), 1):
         table += card(f"TTYPE{n}", f"'{name}'") + card(f"TFORM{n}", f"'{form}'")
+        for key, value in zip(("TSCAL", "TZERO"), scales.get(name, ())):
+            table += card(f"{key}{n}", value)
     with open(path, "wb") as f:
         f.write(pad(head.encode(), b" ") + pad((table + "END".ljust(80)).encode(), b" ") + pad(data.tobytes(), b"\0"))
 
@@ -70,6 +79,15 @@ def test_fits(spark, tmp_path):
         fits.read_fits(spark, p, ["nope"])
 
 
+def test_scaled_fits(spark, tmp_path):
+    p = f"{tmp_path}/s.fits"
+    half = {"U": ("1", "32768"), "V": ("1.0", "2147483648"), "S": ("1", "-128"), "Q": ("1", "9223372036854775808"), "F": ("0.5", "10"), "G": ("2D0", "0")}
+    write_fits(p, ["U", "V", "S", "Q", "F", "G", "W"], ["I", "J", "B", "K", "I", "E", "2J"], [[-32768, 7], [0, -1], [0, 255], [0, 2**63 - 1], [4, -4], [1.5, 2.0], [[1, 2], [3, 4]]], half)
+    got = fits.read_fits(spark, p)
+    assert [k for _, k in got.dtypes] == ["int", "bigint", "smallint", "decimal(20,0)", "double", "double", "array<int>"]
+    assert rows(got) == [(0, 2**31, -128, 2**63, 12.0, 3.0, [1, 2]), (32775, 2**31 - 1, 127, 2**64 - 1, 8.0, 4.0, [3, 4])]
+
+
 def _catalog(spark, n=60, seed=4):
     r = np.random.default_rng(seed)
     return spark.createDataFrame([(i, *map(float, p), float(1 + i % 3)) for i, p in enumerate(np.floor(r.uniform(0, 100, (n, 3))))], "id long, x double, y double, z double, w double")
@@ -108,6 +126,7 @@ def test_config(tmp_path):
         with pytest.raises(ValueError):
             config.check(held | change, None)
     assert config.check(held | {"PAIR_COUNT_FILE": ["a", "b", "c"]}, None).notes
+    assert config.check(held | {"BINNING_SCHEME": 1, "MU_BIN_NUM": 4, "MU_ONE": True}, None).binning.mu_one and not run.binning.mu_one
     given, other = config.parse_command(["-b", "50", "--pair-count=[DD]", "-v", "-c", "f", "-h"])
     assert given == {"BOX_SIZE": [50.0], "PAIR_COUNT": ["DD"], "VERBOSE": True} and other == {"conf": "f", "help": ""}
     for bad in (["-q"], ["--nope=1"], ["-b"], ["-b", "x"]):
