@@ -191,42 +191,47 @@ def telling(a: np.ndarray, n: np.ndarray, positive: int, rows: int) -> np.ndarra
     return FLOOR + (1 - FLOOR) / (1 + np.exp(-(ratio - TELLING) / 2))
 
 
-def _words(sample: DataFrame) -> dict[str, tuple[int, int]]:
-    """Of every word of the sample: its positive and all rows, near copies counted once; under '' the rows there are.
+def _words(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The words of the sample (text, label, last), and of each its positive and all rows, then those without `last`.
 
-    Near copies share their rare words by chance: one text for each least shingle, by two hashes, gives evidence. Words
-    that only the others have come with zero rows.
+    Near copies share their rare words by chance: one text for each least shingle, by two hashes, counts, so words that
+    only others have come with zeros. The empty word stands for all rows.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_least_shingles(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("label"), *(pa.array([g[i] for g in got], pa.string()) for i in (0, 1))], ["text", "label", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text", "label", "last")), *(pa.array([g[i] for g in got], pa.string()) for i in (0, 1))], ["text", "label", "last", "s0", "s1"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in (0, 1))], ["word", "positive", "total"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([x[i] for x in found.values()], pa.int64()) for i in range(4))], ["word", *names])
             found.clear()
             return out
 
         for batch in batches:
-            for text, label, once in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("once").to_pylist(), strict=True):
+            for text, *flags in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("label", "last", "once")), strict=True):
+                label, last, once = flags
+                add = [once * label, once, once * label * (not last), once * (not last)]
                 for w in {"", *tokens(text.as_py())}:
-                    c = found.setdefault(w, [0, 0])
-                    c[0] += once * label
-                    c[1] += once
+                    c = found.setdefault(w, [0, 0, 0, 0])
+                    for i in range(4 if once else 0):
+                        c[i] += add[i]
                 if len(found) > 200_000:
                     yield flush()
         yield flush()
 
-    kept = sample.select("text", "label").mapInArrow(sketches, "text string, label int, s0 string, s1 string")
+    names = ["positive", "total", "first_positive", "first_total"]
+    kept = sample.select("text", "label", "last").mapInArrow(sketches, "text string, label int, last boolean, s0 string, s1 string")
     for s in ("s0", "s1"):
-        kept = kept.groupBy(s).agg(F.max(F.struct("label", "text", "s1")).alias("x")).select(F.col("x.text").alias("text"), F.col("x.label").alias("label"), F.col("x.s1").alias("s1"))
-    every = kept.select("text", "label", F.lit(1).alias("once")).union(sample.select("text", "label", F.lit(0)))
-    counted = every.mapInArrow(words, "word string, positive long, total long").groupBy("word").agg(F.sum("positive").alias("a"), F.sum("total").alias("n"))
-    return {r["word"]: (r["a"], r["n"]) for r in counted.collect()}
+        kept = kept.groupBy(s).agg(F.max(F.struct("label", "text", "last", "s1")).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in ("text", "label", "last", "s1")])
+    every = kept.select("text", "label", "last", F.lit(1).alias("once")).union(sample.select("text", "label", "last", F.lit(0)))
+    counted = every.mapInArrow(words, "word string, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    by = np.argsort(np.array(counted.column("word").to_pylist(), object), kind="stable") if counted.num_rows else np.zeros(0, np.int64)
+    counted = counted.take(pa.array(by))
+    return counted.column("word").to_pylist(), np.stack([counted.column(n).to_numpy() for n in names], axis=1)
 
 
 def _frequencies(df: DataFrame, text_col: str, terms: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -234,58 +239,64 @@ def _frequencies(df: DataFrame, text_col: str, terms: dict[str, int]) -> tuple[n
     shared = df.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = shared.value, Counter()
+        known, seen = shared.value, np.zeros(len(shared.value) + 1, np.int64)
         for batch in batches:
             seen[-1] += batch.num_rows
             for text in batch.column("text"):
-                seen.update([t for w in set(tokens(text.as_py())) if (t := known.get(w)) is not None])
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                seen[[t for w in set(tokens(text.as_py())) if (t := known.get(w)) is not None]] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["term", "n"])
 
     every = df.select(F.col(f"`{text_col}`").alias("text"))
-    out, rows = np.zeros(len(terms), np.int64), 0
-    for r in every.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            rows = r["n"]
-        else:
-            out[r["term"]] = r["n"]
+    found = every.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     shared.destroy()
-    return out, rows
+    return out[:-1], int(out[-1])
 
 
-def _indexed(sample: DataFrame, terms: dict[str, int], words: dict[str, tuple[int, int]], n: np.ndarray, rows: int, k: int) -> Model:
-    """A model of the sample's texts, not yet calibrated; words: their counts by label in this sample."""
-    positive, once = words[""]
-    counts = np.array([words.get(w, (0, 0)) for w in terms], np.int64).reshape(-1, 2)
-    idf = (np.log((rows + 1) / (n + 1)) + 1) * telling(counts[:, 0], counts[:, 1], positive, once)
-    blank = Model(terms, idf, (math.log(rows + 1) + 1) * FLOOR, k=k)
+def _vectors(sample: DataFrame, terms: dict[str, int]) -> pa.Table:
+    """The different texts of the sample as (terms, counts), with their positive and all rows and an id, then those without `last`."""
+    blank = Model(terms, np.zeros(0), 0.0)
     shared = sample.sparkSession.sparkContext.broadcast(blank)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             found = [m.counts(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*(pa.array([f[i].tolist() for f in found], pa.list_(pa.int32())) for i in (0, 1)), batch.column("label").cast(pa.int32()), batch.column("id")], ["terms", "counts", "label", "id"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)), batch.column("label").cast(pa.int32()), batch.column("last"), batch.column("id")], ["terms", "counts", "label", "last", "id"])
 
-    vectors = sample.select("text", "label", F.col("id").cast("string").alias("id")).mapInArrow(examples, "terms array<int>, counts array<int>, label int, id string")
-    merged = vectors.groupBy("terms", "counts").agg(F.sum("label").alias("a"), F.count("*").alias("n"), F.min("id").alias("id")).collect()
+    vectors = sample.select("text", "label", "last", F.col("id").cast("string").alias("id")).mapInArrow(examples, "terms array<int>, counts array<int>, label int, last boolean, id string")
+    first = lambda c: F.when(~F.col("last"), c)
+    sums = [F.sum("label").alias("a"), F.count("*").alias("n"), F.min("id").alias("id"), F.coalesce(F.sum(first(F.col("label"))), F.lit(0)).alias("first_a"), F.count(first(F.lit(1))).alias("first_n"), F.min(first(F.col("id"))).alias("first_id")]
+    out = vectors.groupBy("terms", "counts").agg(*sums).toArrow().combine_chunks()
     shared.destroy()
-    bare = [(r["a"], r["n"]) for r in merged if not r["terms"]]
-    blank.prior = (sum(r["a"] for r in merged) + 1) / (sum(r["n"] for r in merged) + 2)
-    blank.bare = (bare[0][0] + blank.prior) / (bare[0][1] + 1) if bare else blank.prior
-    kept = []
-    for r in merged:
-        if r["terms"]:
-            t, none = np.array(r["terms"], np.int64), np.zeros(0, np.int64)
-            w = blank.vector(t, np.array(r["counts"], np.int64), none)
-            # texts with the same telling word, or else with the same commonest word, share blocks: bounds differ more
-            at = int(np.argmax(w)) if idf[t].max() > 0.5 * (math.log(rows + 1) + 1) * FLOOR and w.max() > 0.3 else int(np.argmax(n[t]))
-            kept.append((int(t[at]), r["terms"], r["counts"], t, w, r))
+    return out
+
+
+def _indexed(vectors: pa.Table, prefix: str, terms: dict[str, int], idf: np.ndarray, n: np.ndarray, rows: int, k: int) -> Model:
+    """A model of the sample's texts (prefix `first_`: of those without `last`), not yet calibrated. idf: by term."""
+    model = Model(terms, idf, (math.log(rows + 1) + 1) * FLOOR, k=k)
+    lists = vectors.column("terms").combine_chunks()
+    start = lists.offsets.to_numpy()
+    flat, counts = lists.values.to_numpy().astype(np.int64), vectors.column("counts").combine_chunks().values.to_numpy()
+    positive, total = (vectors.column(f"{prefix}{c}").to_numpy().astype(float) for c in ("a", "n"))
+    model.prior = (positive.sum() + 1) / (total.sum() + 2)
+    bare = np.flatnonzero((start[1:] == start[:-1]) & (total > 0))
+    model.bare = (positive[bare[0]] + model.prior) / (total[bare[0]] + 1) if len(bare) else model.prior
+    kept, none = [], np.zeros(0, np.int64)
+    for r in np.flatnonzero((start[1:] > start[:-1]) & (total > 0)):
+        t, c = flat[start[r] : start[r + 1]], counts[start[r] : start[r + 1]]
+        w = model.vector(t, c, none)
+        # texts with the same telling word, or else with the same commonest word, share blocks: bounds differ more
+        at = np.argmax(w) if w.max() > 0.3 else np.argmax(n[t])
+        kept.append((int(t[at]), t.tobytes(), c.tobytes(), t, w, int(r)))
     kept.sort(key=lambda x: x[:3])
-    total = np.array([float(x[-1]["n"]) for x in kept])
-    shrink = 1 / np.sqrt(np.maximum(total, 1))  # copies of one text agree anyway: n of them vote as its square root
-    blank.positive, blank.total = np.array([float(x[-1]["a"]) for x in kept]) * shrink, total * shrink
-    blank.index, blank.names = BlockMaxIndex([x[3:5] for x in kept], len(terms)), [x[-1]["id"] for x in kept]
-    return blank
+    of = [x[-1] for x in kept]
+    shrink = 1 / np.sqrt(np.maximum(total[of], 1))  # copies of one text agree anyway: n of them vote as its square root
+    model.positive, model.total = positive[of] * shrink, total[of] * shrink
+    model.index, model.names = BlockMaxIndex([x[3:5] for x in kept], len(terms)), vectors.column(f"{prefix}id").take(pa.array(of, pa.int64())).to_pylist()
+    return model
 
 
 def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", k: int = 15, max_labelled: int = MAX_LABELLED) -> Model:
@@ -300,28 +311,31 @@ def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str
     """
     stage = Staging(df.sparkSession)
     try:
-        sample = stage.table(_sample(df, labels, text_col, id_col, label_col, max_labelled))
         last = F.pmod(F.xxhash64(F.lit(7), F.col("text")), F.lit(5)) == 0
-        parts = (sample.where(~last), sample)
-        words = [_words(p) for p in parts]
-        fits = [0 < w.get("", (0, 0))[0] < w[""][1] for w in words if w] if all(words) else [False]
-        if not fits[-1]:
+        sample = stage.table(_sample(df, labels, text_col, id_col, label_col, max_labelled).withColumn("last", last))
+        words, counts = _words(sample)
+        once = counts[0] if words and words[0] == "" else np.zeros(4, np.int64)
+        if not 0 < once[0] < once[1]:
             return Model({}, np.zeros(0), 0.0)
-        terms = {w: i for i, w in enumerate(sorted(set(words[1]) - {""}))}
+        terms, counts = {w: i for i, w in enumerate(words[1:])}, counts[1:]
         n, rows = _frequencies(df, text_col, terms)
-        model = _indexed(sample, terms, words[1], n, rows, k)
-        if not all(fits):
-            return model
-        shared = df.sparkSession.sparkContext.broadcast(_indexed(parts[0], terms, words[0], n, rows, k))
-
-        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for batch in batches:
-                near = [m.near(t.as_py()) for t in batch.column("text")]
-                yield pa.RecordBatch.from_arrays([pa.array([m.vote(x) if x else None for x in near], pa.float64()), batch.column("label").cast(pa.int32())], ["share", "label"])
-
-        held = sample.where(last).select("text", "label").mapInArrow(votes, "share double, label int").where("share is not null").collect()
-        shared.destroy()
+        vectors = _vectors(sample, terms)
+        idf = np.log((rows + 1) / (n + 1)) + 1
+        held = []
+        if 0 < once[2] < once[3]:
+            first = _indexed(vectors, "first_", terms, idf * telling(counts[:, 2], counts[:, 3], once[2], once[3]), n, rows, k)
+            shared = df.sparkSession.sparkContext.broadcast(first)
+            del first
+
+            def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                m = shared.value
+                for batch in batches:
+                    near = [m.near(t.as_py()) for t in batch.column("text")]
+                    yield pa.RecordBatch.from_arrays([pa.array([m.vote(x) if x else None for x in near], pa.float64()), batch.column("label").cast(pa.int32())], ["share", "label"])
+
+            held = sample.where("last").select("text", "label").mapInArrow(votes, "share double, label int").where("share is not null").collect()
+            shared.destroy()
+        model = _indexed(vectors, "", terms, idf * telling(counts[:, 0], counts[:, 1], once[0], once[1]), n, rows, k)
     finally:
         stage.close()
     if held:
