@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BINS, MAX_MU = 10_000, 255
+#: Bins of both kinds together: their table reaches the driver when it is written to a file.
+MAX_CELLS = 4_000_000
 #: Bins up to this number are found by a tree of comparisons, which is compiled; more of them from a guess.
 _TREE = 256
 
@@ -125,17 +127,18 @@ class Binning:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """One row per bin, second kind slowest: s_idx, j_idx, s_min, s_max, s_cen, and j_min, j_max (null for iso)."""
-        s = spark.range(len(self.s)).select(F.col("id").cast("int").alias("s_idx"))
+        if len(self.s) * self.second > MAX_CELLS:
+            raise ValueError(f"at most {MAX_CELLS} bins in all are allowed")
         edges = F.array(*[F.lit(float(e)) for e in self.s.edges])
         at = lambda table, i, more: F.element_at(table, (F.col(i) + (1 + more)).cast("int"))
-        s = s.select("s_idx", at(edges, "s_idx", 0).alias("s_min"), at(edges, "s_idx", 1).alias("s_max"))
-        j = spark.range(self.second).select(F.col("id").cast("int").alias("j_idx"))
+        place = spark.range(len(self.s) * self.second).select((F.col("id") % len(self.s)).cast("int").alias("s_idx"), F.floor(F.col("id") / len(self.s)).cast("int").alias("j_idx"))
+        both = place.select("s_idx", "j_idx", at(edges, "s_idx", 0).alias("s_min"), at(edges, "s_idx", 1).alias("s_max"))
         if self.scheme == "smu":
-            j = j.select("j_idx", (F.col("j_idx") / F.lit(float(self.n_mu))).alias("j_min"), ((F.col("j_idx") + 1) / F.lit(float(self.n_mu))).alias("j_max"))
+            low, high = F.col("j_idx") / F.lit(float(self.n_mu)), (F.col("j_idx") + 1) / F.lit(float(self.n_mu))
         elif self.scheme == "spi":
             marks = F.array(*[F.lit(float(e)) for e in self.pi.edges])
-            j = j.select("j_idx", at(marks, "j_idx", 0).alias("j_min"), at(marks, "j_idx", 1).alias("j_max"))
+            low, high = at(marks, "j_idx", 0), at(marks, "j_idx", 1)
         else:
-            j = j.select("j_idx", F.lit(None).cast("double").alias("j_min"), F.lit(None).cast("double").alias("j_max"))
-        both = s.crossJoin(j)  # MAX_BINS by MAX_BINS rows at most, and in practice a few thousand
+            low = high = F.lit(None).cast("double")
+        both = both.withColumn("j_min", low).withColumn("j_max", high)
         return both.select("s_idx", "j_idx", "s_min", "s_max", ((F.col("s_min") + F.col("s_max")) / 2).alias("s_cen"), "j_min", "j_max")
