@@ -88,7 +88,7 @@ def fingerprint(text):
         for half, seed in enumerate((42, xxhash.xxh64_intdigest(struct.pack("<i", 1), 42))):
             h = xxhash.xxh64_intdigest(a.encode(), seed)
             h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)
-            votes[64 * half : 64 * half + 64] += h >> np.arange(64, dtype=object) & 1
+            votes[64 * half : 64 * half + 64] += (np.uint64(h) >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.int64)
     return [sum(1 << j for j in range(64) if votes[64 * half + j] * 2 > n) for half in (0, 1)]
 
 
@@ -151,10 +151,13 @@ def test_repeats_by_all_windows(spark, texts):
         first.setdefault(t or "", i)
     want = covered([(i, t) for t, i in first.items()], 50)
     got, keepers = defaultdict(set), defaultdict(set)
+    twice = Counter(t or "" for t in texts.values())
     for r in run(spark, "op9_suffix_dedup"):
-        if first[texts[r.doc_id] or ""] == r.doc_id and not (r.keeper_doc_id == r.doc_id and r.start_word == 0 and r.n_words == len((texts[r.doc_id] or "").split()) and r.doc_id not in want):
+        t = texts[r.doc_id] or ""
+        whole = twice[t] > 1 and r.keeper_doc_id == first[t] and (r.start_word, r.n_words) == (0, len(t.split()))
+        if first[t] == r.doc_id and not whole:
             got[r.doc_id] |= set(range(r.start_word, r.start_word + r.n_words))
         keepers[r.doc_id].add(r.removed)
-    assert {i: x for i, x in got.items() if i in want} == want
+    assert got == want
     copies = {i for i, t in texts.items() if len((t or "").split()) >= 50 and first[t] != i}
     assert all(True in keepers[i] for i in copies)
