@@ -32,7 +32,7 @@ def pair_counts(left: DataFrame, right: DataFrame | None, binning: Binning, box:
     spark = left.sparkSession
     sizes = sizes or (totals(left), None if right is None else totals(right))
     times = 2 if right is None else 1
-    summed = pair_sums(left, right, binning, box).select("s_idx", "j_idx", (F.col("w" if weighted else "n") * times).alias("found"))
+    summed = pair_sums(left, right, binning, box, not weighted, weighted).select("s_idx", "j_idx", (F.col("w" if weighted else "n") * times).alias("found"))
     dense = binning.table(spark).join(summed, ["s_idx", "j_idx"], "left")
     zero = F.lit(0.0) if weighted else F.lit(0).cast("long")
     return normalised(dense.withColumn("cnt", F.coalesce("found", zero)).drop("found"), norm(*sizes, weighted))
@@ -57,5 +57,5 @@ def analytic_counts(binning: Binning, box: Box, spark) -> DataFrame:
 
 def distance_histogram(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box | None = None) -> DataFrame:
     """Pairs by distance, each once: s_idx, s_min, s_max, n."""
-    summed = pair_sums(left, right, binning, box).groupBy("s_idx").agg(F.sum("n").alias("found"))
+    summed = pair_sums(left, right, binning, box, weighted=False).groupBy("s_idx").agg(F.sum("n").alias("found"))
     return binning.table(left.sparkSession).join(summed, "s_idx", "left").select("s_idx", "s_min", "s_max", F.coalesce("found", F.lit(0)).alias("n"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -11,6 +11,11 @@ from orrery.operators.bins import Binning
 
 #: Candidate pairs that are looked at together.
 CHUNK = 1 << 20
+#: Candidate pairs of one cell from which it is compared with its partners as a matrix, and those of a piece of it, whose
+#: arrays stay in a core's cache.
+MATRIX, PIECE = 2_048, 1 << 15
+#: Steps of a table of bins at most.
+STEPS = 1 << 16
 
 
 def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -25,7 +30,8 @@ class Tile:
 
     sides: of the periodic box, or None. cells: how many it has on each axis, or None. offsets: steps from a point's
     cell to those that hold its partners. order: pairs count where the first id is smaller: in no cell (two
-    catalogues), in the point's own cell, or in all cells.
+    catalogues), in the point's own cell, or in all cells. size: of a cell on each axis. counted, weighted: whether
+    pairs are counted, and whether their weights are summed.
     """
 
     binning: Binning
@@ -33,6 +39,218 @@ class Tile:
     cells: tuple[int, int, int] | None
     offsets: tuple[tuple[int, int, int], ...]
     order: str
+    size: tuple[float, float, float]
+    counted: bool = True
+    weighted: bool = True
+
+
+class Steps:
+    """The bins of values by a table, exactly: where a power of two makes all edges whole, the values times it, rounded
+    down, lie on one side of each edge. Elsewhere (table None) by search."""
+
+    def __init__(self, marks: list[float]):
+        self.marks, self.table, self.none = np.array(marks), None, len(marks) - 1
+        for power in range(0, 41):
+            edges = self.marks * 2.0**power
+            if edges[-1] >= STEPS:
+                break
+            if (edges == np.floor(edges)).all():
+                self.scale, self.top = 2.0**power, int(edges[-1])
+                self.table = np.searchsorted(edges, np.arange(self.top + 1), "right") - 1
+                self.table[self.table < 0] = self.none
+                break
+
+    def step(self, values: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Places in the table (no table: bins, none for values out of range); negative values are out of range. values is overwritten."""
+        negative = None if values.min() >= 0 else ~(values >= 0)  # or no number
+        if self.table is None:
+            out[...] = np.searchsorted(self.marks, values, "right") - 1
+            out[out < 0] = self.none
+        else:
+            if self.scale != 1.0:
+                np.multiply(values, self.scale, out=values)
+            np.minimum(values, self.top, out=values)
+            np.copyto(out, values, casting="unsafe")
+        if negative is not None:
+            out[negative] = self.none if self.table is None else self.top
+        return out
+
+    def bins(self, values: np.ndarray, out: np.ndarray) -> np.ndarray:
+        found = self.step(values, out)
+        return found if self.table is None else np.take(self.table, found, out=found, mode="clip")
+
+
+class Matrix:
+    """Sums by bin of the pairs of some points with some others, all with all: the same arithmetic as `separation` and
+    `bins_of`, operation by operation, on arrays that stay in the cache."""
+
+    def __init__(self, tile: Tile):
+        self.tile, b = tile, tile.binning
+        self.periodic, self.scheme = tile.sides is not None, b.scheme
+        self.s = Steps([e * e for e in b.s.edges])
+        self.j = Steps([e if self.periodic else e * e for e in b.pi.edges]) if b.scheme == "spi" else None
+        if b.scheme == "smu":
+            n = b.n_mu
+            self.rows = n + 1
+            self.mu = np.minimum(np.sqrt(np.arange(n * n + 1)).astype(np.int64), n - 1 if b.mu_one else n)
+        else:
+            self.rows = b.second + 1 if b.scheme == "spi" else 1
+        plain = b.scheme == "iso" and self.s.table is not None
+        self.cells = self.s.top + 1 if plain else (len(b.s) + 1) * self.rows
+        self.number, self.weight, self.plain = np.zeros(self.cells, np.int64), np.zeros(self.cells), plain
+        self.floats = {t: np.empty((5, PIECE), t) for t in (np.float32, np.float64)}
+        self.ints = np.empty((2, PIECE), np.int64)
+        # whole numbers below 2 ** 24, and the floors of their quotients, are exact in single precision
+        self.single = (self.s.table is not None and self.s.top <= 1 << 24) and b.scheme != "spi" and (b.n_mu or 1) ** 2 * b.s.high**2 < 1 << 24
+
+    def whole(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> None:
+        """a, b: rows x, y, z of whole numbers, without a nearer image. Sums of their products are exact in any order, so
+        that squares of separations are one product of matrices: |a|^2 + |b|^2 - 2 ab."""
+        origin = a.min(axis=1, keepdims=True)
+        p, q = a - origin, b - origin
+        sighted = self.tile.sides is None and self.scheme != "iso"
+        kind = np.float32 if self.single and not sighted and max(p.max(), np.abs(q).max()) < 1000 else np.float64
+        n = float(self.tile.binning.n_mu or 1)
+
+        def factors(p: np.ndarray, q: np.ndarray, twice: float) -> tuple[np.ndarray, np.ndarray]:
+            left = np.stack([*(p * twice), (p * p).sum(axis=0), np.ones(p.shape[1])], axis=1).astype(kind)
+            return left, np.stack([*q, np.ones(q.shape[1]), (q * q).sum(axis=0)]).astype(kind)
+
+        left, right = factors(p, q, -2.0)
+        if sighted:
+            left_sum, right_sum = factors(a, b, 2.0)
+            a2, b2 = (a * a).sum(axis=0)[:, None], (b * b).sum(axis=0)[None, :]
+        deep, deeper = (p[2] * n).astype(kind)[:, None], (q[2] * n).astype(kind)[None, :]
+        wide = PIECE // len(wa)
+        for at in range(0, len(wb), wide):
+            part = slice(at, at + wide)
+            s2, u, v, along, shape = self._room(len(wa), len(wb[part]), kind)
+            np.matmul(left, right[:, part], out=s2)
+            if sighted:
+                np.subtract(a2, b2[:, part], out=u)
+                np.multiply(u, u, out=u)
+                np.matmul(left_sum, right_sum[:, part], out=v)
+                self._shared(u, v, along)
+                if self.scheme == "spi":
+                    self._across(s2, along)
+                else:
+                    np.multiply(along, n * n, out=along)
+            elif self.scheme == "smu":
+                np.subtract(deep, deeper[:, part], out=along)
+                np.multiply(along, along, out=along)
+            elif self.scheme == "spi":
+                np.subtract(deep, deeper[:, part], out=along)
+                np.abs(along, out=along)
+                np.subtract(p[2][:, None], q[2][None, part], out=u)
+                np.multiply(u, u, out=u)
+                np.subtract(s2, u, out=s2)
+            self._binned(s2, along, u, wa, wb[part], shape)
+
+    def _room(self, n: int, m: int, kind: type) -> tuple:
+        return *(f[: n * m].reshape(n, m) for f in self.floats[kind][:4]), (n, m)
+
+    def add(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, fold: tuple[bool, ...]) -> None:
+        """a, b: rows x, y, z and, where there is no box, the square of the distance from the origin; fold: axes on which
+        the nearest image may be another one."""
+        wide = PIECE // len(wa)
+        for at in range(0, len(wb), wide):
+            part = slice(at, at + wide)
+            s2, u, v, x, shape = self._room(len(wa), len(wb[part]), np.float64)
+            one, two = a[:, :, None], b[:, None, part]
+            if self.periodic or self.scheme == "iso":
+                along = self._straight(one, two, fold, s2, u)
+            else:
+                along = self._sighted(one, two, s2, u, v, x)
+            if self.scheme == "smu":
+                along = np.multiply(along, float(self.tile.binning.n_mu**2), out=x)
+            self._binned(s2, along, v, wa, wb[part], shape)
+
+    def _binned(self, s2: np.ndarray, along: np.ndarray | None, u: np.ndarray, wa: np.ndarray, wb: np.ndarray, shape: tuple[int, int]) -> None:
+        """Adds pairs; along: for smu times the square of the number of mu bins."""
+        first, second = (i[: s2.size].reshape(shape) for i in self.ints)
+        if self.plain:
+            at = self.s.step(s2, first)
+        else:
+            if self.scheme == "smu":
+                n = float(self.tile.binning.n_mu**2)
+                bad = None if s2.min() > 0 else ~(s2 > 0)
+                if bad is None:
+                    np.divide(along, s2, out=u)
+                else:
+                    u[...] = 0.0
+                    np.divide(along, s2, out=u, where=~bad)
+                np.minimum(u, n, out=u)
+                np.copyto(second, u, casting="unsafe")
+                np.take(self.mu, second, out=second, mode="clip")
+            elif self.scheme == "spi":
+                self.j.bins(along, second)
+            at = self.s.bins(s2, first)
+            if self.rows > 1:
+                np.multiply(at, self.rows, out=at)
+                np.add(at, second, out=at)
+        if self.tile.counted:
+            self.number += np.bincount(at.ravel(), minlength=self.cells)
+        if self.tile.weighted:
+            w = self.floats[np.float64][4][: s2.size].reshape(shape)
+            np.multiply(wa[:, None], wb[None, :], out=w)
+            self.weight += np.bincount(at.ravel(), w.ravel(), self.cells)
+
+    def _straight(self, a, b, fold, s2, u) -> np.ndarray | None:
+        for axis in range(3):
+            np.subtract(a[axis], b[axis], out=u)
+            if fold[axis]:
+                side = self.tile.sides[axis]
+                np.abs(u, out=u)
+                np.minimum(u, side - u, out=u)
+            if axis == 2 and self.scheme == "spi":
+                return np.abs(u, out=u)
+            np.multiply(u, u, out=u if axis else s2)
+            if axis:
+                np.add(s2, u, out=s2)
+        return u
+
+    def _sighted(self, a, b, s2, u, v, x) -> np.ndarray:
+        np.multiply(a[0], b[0], out=u)
+        for axis in (1, 2):
+            np.multiply(a[axis], b[axis], out=v)
+            np.add(u, v, out=u)
+        np.multiply(u, 2.0, out=u)
+        np.add(a[3], b[3], out=v)
+        np.subtract(v, u, out=s2)
+        np.add(v, u, out=v)
+        np.subtract(a[3], b[3], out=u)
+        np.multiply(u, u, out=u)
+        self._shared(u, v, x)
+        if self.scheme == "spi":
+            self._across(s2, x)
+        return x
+
+    @staticmethod
+    def _shared(square: np.ndarray, sum2: np.ndarray, out: np.ndarray) -> None:
+        """square / sum2, 0 where sum2 is not above 0."""
+        none = None if sum2.min() > 0 else ~(sum2 > 0)
+        if none is not None:
+            sum2[none], square[none] = 1.0, 0.0
+        np.divide(square, sum2, out=out)
+
+    def _across(self, s2: np.ndarray, along2: np.ndarray) -> None:
+        np.subtract(s2, along2, out=s2)
+        if self.tile.binning.s.low == 0:
+            np.maximum(s2, 0.0, out=s2)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """By s_idx * bins of the second kind + j_idx."""
+        b = self.tile.binning
+        out = []
+        for found in (self.number, self.weight):
+            if self.plain:
+                held = np.zeros(len(b.s) + 1, found.dtype)
+                np.add.at(held, self.s.table, found)
+                held = held[:, None]
+            else:
+                held = found.reshape(len(b.s) + 1, self.rows)
+            out.append(held[: len(b.s), : b.second].ravel())
+        return out[0], out[1]
 
 
 def candidates(a_cells: np.ndarray, b_cells: np.ndarray, tile: Tile) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -65,6 +283,73 @@ def candidates(a_cells: np.ndarray, b_cells: np.ndarray, tile: Tile) -> Iterator
                 yield np.repeat(place[piece], size[piece]), runs(start[piece], size[piece]), o == (0, 0, 0)
 
 
+def matrices(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tile: Tile, total: Matrix) -> np.ndarray:
+    """Adds the pairs of all cells with partners enough, each with all the partners that it can reach, and returns which
+    points of a have been dealt with. b is sorted by cells; no pair may depend on the order of ids."""
+    offsets = np.array(tile.offsets)
+    low = b["cell"].min(axis=0)
+    extent = b["cell"].max(axis=0) - low + 1
+    code = lambda c: ((c[..., 0] - low[0]) * extent[1] + c[..., 1] - low[1]) * extent[2] + c[..., 2] - low[2]
+    b_code = code(b["cell"].astype(np.int64))
+    own, of = np.unique(a["cell"], axis=0, return_inverse=True)
+    by = np.argsort(of.ravel(), kind="stable")
+    n_a = np.bincount(of.ravel(), minlength=len(own))
+    first_a = np.cumsum(n_a) - n_a
+    done = np.zeros(len(of.ravel()), bool)
+    sided = tile.sides is not None
+    binning = tile.binning
+    lifted = not sided and binning.scheme != "iso"
+    places = [np.concatenate([p, [p[0] * p[0] + p[1] * p[1] + p[2] * p[2]]]) if lifted else p for p in (a["place"], b["place"])]
+    far2 = binning.s.high**2 + (binning.pi.high**2 if binning.scheme == "spi" else 0.0)
+    far2 = far2 * (1 + 1e-9) + (1e-12 * (places[0][3].max() + places[1][3].max()) if lifted else 0.0)
+    # steps that stay inside the box lead to the nearest image, unless they are as long as half of it
+    long = np.abs(offsets).max(axis=0)
+    far = [sided and (long[i] + 1) * tile.size[i] > 0.499 * tile.sides[i] for i in range(3)]
+    # whole numbers of which no sum of three products reaches 2 ** 53
+    whole = not any(far) and all(float(x) == int(x) for x in tile.sides or ()) and all((p[:3] == np.floor(p[:3])).all() and np.abs(p[:3]).max() < 1 << 24 for p in places)
+    slab = max(1, (1 << 20) // len(offsets))
+    for begin in range(0, len(own), slab):
+        here = own[begin : begin + slab].astype(np.int64)
+        to = here[:, None, :] + offsets[None]
+        if tile.cells:
+            edge = (to < 0) | (to >= np.array(tile.cells))
+            folds = edge.any(axis=1) | np.array(far)
+            to %= np.array(tile.cells)
+        there = ((to >= low) & (to < low + extent)).all(axis=2)
+        wanted = code(np.where(there[:, :, None], to, low))
+        start = np.searchsorted(b_code, wanted)
+        n_b = np.where(there, np.searchsorted(b_code, wanted, "right") - start, 0)
+        for i in np.flatnonzero(n_a[begin : begin + slab] * n_b.sum(axis=1) >= MATRIX):
+            mine = by[first_a[begin + i] : first_a[begin + i] + n_a[begin + i]]
+            done[mine] = True
+            some = n_b[i] > 0
+            all_ = runs(start[i][some], n_b[i][some])
+            fold = tuple(folds[i].tolist()) if tile.cells else (False,) * 3
+            for part in range(0, len(mine), 64):
+                rows = mine[part : part + 64]
+                p, gap2, moved = places[0][:, rows], 0.0, []
+                for axis in range(3):
+                    if fold[axis] and not whole:
+                        continue
+                    c = places[1][axis, all_]
+                    if fold[axis]:  # to the image that is nearest to these points
+                        side = tile.sides[axis]
+                        c = c + side * ((c - p[axis, 0] < -0.5 * side).astype(float) - (c - p[axis, 0] > 0.5 * side))
+                    if whole:
+                        moved.append(c)
+                    gap = np.maximum(np.maximum(p[axis].min() - c, c - p[axis].max()), 0.0)
+                    gap2 = gap2 + gap * gap
+                near = np.flatnonzero(gap2 <= far2) if whole or not all(fold) else np.arange(len(all_))
+                others = all_[near]
+                if not len(others):
+                    continue
+                if whole:
+                    total.whole(p[:3], np.stack([c[near] for c in moved]), a["w"][rows], b["w"][others])
+                else:
+                    total.add(p, places[1][:, others], a["w"][rows], b["w"][others], fold)
+    return done
+
+
 def separation(a: np.ndarray, b: np.ndarray, scheme: str, sides: tuple[float, float, float] | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Of points a and b (three rows of coordinates each): the square of s (spi: of its part across), and that of the
     part along the line of sight (spi in a box: that part itself); None for iso, where it plays no part."""
@@ -114,12 +399,29 @@ def sums(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tile: Tile) -> tupl
         return number, weight
     by = np.lexsort(b["cell"].T[::-1])
     b = {"id": b["id"][by], "place": b["place"][:, by], "w": b["w"][by], "cell": b["cell"][by]}
-    for i, j, same in candidates(a["cell"], b["cell"], tile):
-        if tile.order == "all" or (tile.order == "own" and same):
-            keep = a["id"][i] < b["id"][j]
-            i, j = i[keep], j[keep]
-        s2, along = separation(a["place"][:, i], b["place"][:, j], tile.binning.scheme, tile.sides)
-        at, found = bins_of(s2, along, tile.binning, tile.sides is not None)
-        number += np.bincount(found, minlength=size)
-        weight += np.bincount(found, a["w"][i[at]] * b["w"][j[at]], size)
+    rest = [(a, tile)]
+    if tile.order != "all":
+        # pairs whose order counts, those of one cell, are compared one by one below, as are cells with few partners
+        apart = tuple(o for o in tile.offsets if o != (0, 0, 0) or tile.order != "own")
+        if apart:
+            total = Matrix(tile)
+            done = matrices(a, b, replace(tile, offsets=apart), total)
+            number, weight = total.sums()
+            few = {k: v[:, ~done] if k == "place" else v[~done] for k, v in a.items()}
+            rest = [(few, replace(tile, offsets=apart))]
+            if len(apart) < len(tile.offsets):
+                rest.append((a, replace(tile, offsets=((0, 0, 0),))))
+    for points, steps in rest:
+        if not len(points["id"]):
+            continue
+        for i, j, same in candidates(points["cell"], b["cell"], steps):
+            if tile.order == "all" or (tile.order == "own" and same):
+                keep = points["id"][i] < b["id"][j]
+                i, j = i[keep], j[keep]
+            s2, along = separation(points["place"][:, i], b["place"][:, j], tile.binning.scheme, tile.sides)
+            at, found = bins_of(s2, along, tile.binning, tile.sides is not None)
+            if tile.counted:
+                number = number + np.bincount(found, minlength=size)
+            if tile.weighted:
+                weight = weight + np.bincount(found, points["w"][i[at]] * b["w"][j[at]], size)
     return number, weight

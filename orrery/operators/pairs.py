@@ -16,7 +16,7 @@ from orrery.operators.bins import Binning, mu_index
 
 #: Points that a block of cells should hold on average, points of either side in a tile at most, and points in a cell
 #: from which cells are cut finer.
-BLOCK_POINTS, TILE_POINTS, CELL_POINTS = 4_000, 100_000, 40.0
+BLOCK_POINTS, TILE_POINTS, CELL_POINTS = 4_000, 100_000, 16.0
 
 
 @dataclass(frozen=True)
@@ -213,9 +213,11 @@ def _crowding(cells: DataFrame) -> tuple[int, float]:
     return n or 0, (square or 0.0) / (n or 1)
 
 
-def pair_sums(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box | None = None) -> DataFrame:
+def pair_sums(left: DataFrame, right: DataFrame | None, binning: Binning, box: Box | None = None, counted: bool = True, weighted: bool = True) -> DataFrame:
     """Pairs in range by bin: (s_idx, j_idx, n long, w double), w the sum of the products of weights; empty bins are absent.
 
+    Without counted or weighted n or w is not summed, and 0.
+
     Both sides are catalog()s; right None: each pair of left once. Positions outside a box are moved into it. Space is
     cut into cells no smaller than the reach and these into blocks of cells. A point goes to its own block as a first
     point, and as a partner to the few blocks that hold a neighbour of its cell (for pairs within one catalogue those
@@ -243,7 +245,10 @@ def pair_sums(left: DataFrame, right: DataFrame | None, binning: Binning, box: B
     try:
         n, crowd = _crowding(cells)
         refine = max(1, min(4, round((max(crowd, _crowding(others)[1]) / CELL_POINTS) ** (1 / 3))))
-        per = max(1, round((BLOCK_POINTS / max(1.0, crowd)) ** (1 / 3)))
+        # a block's partners lie in a shell around it, so larger blocks have fewer copies of them: where there are many
+        # points, blocks are larger, and still many enough for the machines
+        held = max(BLOCK_POINTS, min(8 * BLOCK_POINTS, n / 64))
+        per = max(1, round((held / max(1.0, crowd)) ** (1 / 3)))
         block = lambda c: F.floor(F.col(c) / F.lit(per)).cast("int").alias("b" + c[1:])
         keys = ["b0", "b1", "b2"]
         most = None
@@ -262,24 +267,24 @@ def pair_sums(left: DataFrame, right: DataFrame | None, binning: Binning, box: B
     half = auto and fine.halved(offsets)
     if half:
         offsets = [o for o in offsets if o >= (0, 0, 0)]
-    tile = kernel.Tile(binning, box and box.sides, fine.cells, tuple(offsets), "none" if not auto else "own" if half else "all")
+    tile = kernel.Tile(binning, box and box.sides, fine.cells, tuple(offsets), "none" if not auto else "own" if half else "all", fine.size, counted, weighted)
 
     def dealt(df: DataFrame, partner: bool) -> DataFrame:
         held = df.select("id", "x", "y", "z", "w", *[c.alias(n) for n, c in zip(names, fine.cell((F.col("x"), F.col("y"), F.col("z"))), strict=True)])
         if partner:
-            # blocks of the cells from which a step leads here; a step of up to one coarse cell either way on each axis
-            steps = sorted({tuple(-(-abs(v) // refine) * (1 if v > 0 else -1) for v in o) for o in offsets})
-
+            # blocks of the cells from which a step leads here, axis by axis; a step of up to one coarse cell either way on
+            # each, and as a finer step may stay in the coarse cell, the shorter steps as well
             def at(axis: int, step: int) -> Column:
                 c = F.floor(F.col(names[axis]) / F.lit(refine)) - F.lit(step)
                 if coarse.cells:
                     c = F.pmod(c, F.lit(coarse.cells[axis]))
                 return F.floor(c / F.lit(per)).cast("int")
 
-            # a finer step may stay in the coarse cell, so the shorter steps are there as well
-            every = sorted({p for s in steps for p in itertools.product(*[range(min(0, v), max(0, v) + 1) for v in s])})
-            where = F.array_distinct(F.array(*[F.struct(*[at(i, s[i]).alias(k) for i, k in enumerate(keys)]) for s in every]))
-            held = held.select(F.inline(where), F.lit(True).alias("partner"), "id", "x", "y", "z", "w", *names)
+            for axis, key in enumerate(keys):
+                ends = {-(-abs(o[axis]) // refine) * (1 if o[axis] > 0 else -1) for o in offsets}
+                steps = range(min(0, *ends), max(0, *ends) + 1)
+                held = held.withColumn(key, F.explode(F.array_distinct(F.array(*[at(axis, v) for v in steps]))))
+            held = held.select(*keys, F.lit(True).alias("partner"), "id", "x", "y", "z", "w", *names)
         else:
             held = held.select(*[F.floor(F.col(c) / F.lit(refine * per)).cast("int").alias(k) for c, k in zip(names, keys, strict=True)], F.lit(False).alias("partner"), "id", "x", "y", "z", "w", *names)
         if not crowded:
@@ -298,7 +303,7 @@ def pair_sums(left: DataFrame, right: DataFrame | None, binning: Binning, box: B
         values = {"id": column("id"), "place": np.stack([column(c) for c in "xyz"]), "w": column("w"), "cell": np.stack([column(c) for c in names], axis=1)}
         a, b = ({k: v[:, of] if k == "place" else v[of] for k, v in values.items()} for of in (~partner, partner))
         number, weight = kernel.sums(a, b, tile)
-        at = np.flatnonzero(number)
+        at = np.flatnonzero((number != 0) | (weight != 0))
         found = [at // binning.second, at % binning.second, number[at], weight[at]]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(found, kinds.types, strict=True)], schema=kinds)
 
