@@ -124,9 +124,19 @@ def sorted_runs(stage: Staging, suffixes: DataFrame, prefix: list[str], place: s
             yield runs(kept, True)[0]
 
     found = stage.table(ordered.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t in [*kinds, ("keeper", "bigint"), ("border", "boolean")])))
-    ends = found.where("border").groupBy(*prefix).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most")
-    joined = join_small(found.where("border"), stage.table(ends), prefix).select(*names, F.col("least").alias("keeper"))
-    return found.where("not border").select(*names, "keeper").union(joined)
+    ends = found.where("border").groupBy(*prefix).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most").collect()
+    # at most two prefixes per range: every task holds them all, and each row is looked up once
+    keepers = spark.sparkContext.broadcast({tuple(r[c] for c in prefix): r["least"] for r in ends})
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = keepers.value.get
+        for batch in batches:
+            keeper = [get(x) for x in zip(*(batch.column(c).to_pylist() for c in prefix), strict=True)]
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keeper, pa.int64())], [*names, "keeper"])
+            yield out.filter(out.column("keeper").is_valid())
+
+    settled = found.where("border").select(*names).mapInArrow(settle, ", ".join(f"{n} {t}" for n, t in [*kinds, ("keeper", "bigint")]))
+    return found.where("not border").select(*names, "keeper").union(settled)
 
 
 def repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS):
@@ -202,7 +212,8 @@ def repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", mi
         hits = stage.table(sorted_runs(stage, suffixes, ["prefix"], "at").groupBy("key").agg(F.collect_set("at").alias("places")))
         stage.drop(suffixes)
         chosen = stage.table(hits.join(found, "key").select(F.col("key").alias("k"), "first", "places"))
-        wanted = join_small(keyed, chosen, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")), bytes_=F.size("places") * 4)
+        # nearly every text is chosen, so at any size texts and places meet by one exchange: one plan, whose disk grows with the input
+        wanted = keyed.join(chosen.hint("merge"), (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
         windows = stage.table(wanted.select("key", "text", "places").mapInArrow(around, "window long, check long, key long, start int"))
         copied = found.where("first < last").select(F.col("key").alias("c"), F.col("first").alias("f"))
         lengths = join_small(keyed, stage.table(copied), (F.col("key") == F.col("c")) & F.col("id").eqNullSafe(F.col("f"))).groupBy("key").agg(F.max(F.regexp_count("text", F.lit(_JAVA_WORD))).alias("n_words"))
