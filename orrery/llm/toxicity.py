@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 #: Default of `fit(max_labelled=)`: the labelled rows a model learns from, those whose ids hash lowest.
 MAX_LABELLED = 5_000
+#: Terms in more than one of COMMON examples are held as rows of weights, at most ROWS of them.
+COMMON, ROWS = 16, 512
 #: A word's IDF counts in full where its counts by label have a log-likelihood ratio well above TELLING (chance words
 #: of some hundred thousand stay below), and to the share FLOOR where they do not differ.
 TELLING, FLOOR = 14.0, 0.03
@@ -48,14 +51,25 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Sparse vectors of examples, inverted: postings by term, then example. Every `width` consecutive examples form a block.
 
-    The postings of a term in a block lie together; of each such stretch the largest weight is known.
+    The postings of a term in a block lie together; of each such stretch the largest weight is known. The commonest
+    terms, whose postings reach nearly all blocks, are rows of weights of all examples: their part of a product is known
+    exactly before any block is opened, and so is its largest in each block.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, width: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, width: int = 128):
         self.n, self.width = len(vectors), width
         each = np.array([len(ids) for ids, _ in vectors], np.int64)
         ids = np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in vectors)]).astype(np.int64)
         weights, of = np.concatenate([np.zeros(0), *(w for _, w in vectors)]), np.repeat(np.arange(self.n), each)
+        seen = np.bincount(ids, minlength=size)
+        common = np.argsort(-seen, kind="stable")[:ROWS]
+        common = common[seen[common] * COMMON > self.n]
+        self.row = np.full(size, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        dense = self.row[ids] >= 0
+        self.rows[self.row[ids[dense]], of[dense]] = weights[dense]
+        ids, weights, of = ids[~dense], weights[~dense], of[~dense]
         by = np.lexsort((of, ids))
         terms = ids[by]
         self.example, self.weights = of[by].astype(np.int32), weights[by]
@@ -69,14 +83,20 @@ class BlockMaxIndex:
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of largest product above 0 with a sparse vector, exactly; ties by the lower number.
 
-        Blocks are opened by descending bound (sum of query weight times block maximum), twice as many at each step,
-        until no bound reaches the k-th product found.
+        Blocks are opened by descending bound (the largest part of the common terms, and the sum of query weight times
+        block maximum of the others), twice as many at each step, until no bound reaches the k-th product found.
         """
+        row = self.row[ids]
+        held = row >= 0
+        part = weights[held] @ self.rows[row[held]]
+        ids, weights = ids[~held], weights[~held]
         begin = self.term_start[ids]
         size = self.term_start[ids + 1] - begin
         at, w = _runs(begin, size), np.repeat(weights, size)
         block = self.block[at]
         bounds = np.bincount(block, self.most[at] * w, self.blocks)
+        if self.n:
+            bounds = bounds + np.maximum.reduceat(part, np.arange(0, self.n, self.width))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         scores, numbers, step = np.zeros(0), np.zeros(0, np.int64), 8
@@ -92,6 +112,7 @@ class BlockMaxIndex:
             begin, long = self.start[at[here]], self.start[at[here] + 1] - self.start[at[here]]
             postings = _runs(begin, long)
             found = np.bincount(self.example[postings], self.weights[postings] * np.repeat(w[here], long), self.n)
+            found = found + np.where(np.repeat(opened, self.width)[: self.n], part, 0.0)
             hit = np.flatnonzero(found > (scores[-1] - 1e-12 if len(scores) == k else 0))
             scores, numbers = np.concatenate([scores, found[hit]]), np.concatenate([numbers, hit])
             best = np.lexsort((numbers, -scores))[:k]
@@ -119,10 +140,12 @@ class Model:
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms of a text, ascending, how often each occurs, and how often each word occurs that no example has."""
-        get = self.terms.get
-        found = [(get(w, -1), c) for w, c in Counter(tokens(text)).items()]
-        known = sorted(x for x in found if x[0] >= 0)
-        return np.array([t for t, _ in known], np.int64), np.array([c for _, c in known], np.int64), np.array([c for t, c in found if t < 0], np.int64)
+        found = Counter(tokens(text))
+        terms = np.fromiter(map(self.terms.get, found, repeat(-1)), np.int64, len(found))
+        counts = np.fromiter(found.values(), np.int64, len(found))
+        by = np.argsort(terms, kind="stable")
+        by, known = by[np.count_nonzero(terms < 0) :], terms >= 0
+        return terms[by], counts[by], counts[~known]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Unit TF-IDF weights of the terms; the other words count in the length alone."""
@@ -243,7 +266,9 @@ def _frequencies(df: DataFrame, text_col: str, terms: dict[str, int]) -> tuple[n
         for batch in batches:
             seen[-1] += batch.num_rows
             for text in batch.column("text"):
-                seen[[t for w in set(tokens(text.as_py())) if (t := known.get(w)) is not None]] += 1
+                words = set(tokens(text.as_py()))
+                places = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+                seen[places[places >= 0]] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["term", "n"])
 
