@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -13,9 +15,15 @@ from orrery.operators.bins import Binning
 CHUNK = 1 << 20
 #: Candidate pairs of one cell from which it is compared with its partners as a matrix, and those of a piece of it, whose
 #: arrays stay in a core's cache.
-MATRIX, PIECE = 2_048, 1 << 15
-#: Steps of a table of bins at most.
-STEPS = 1 << 16
+MATRIX, PIECE = 2_048, 1 << 16
+#: Steps of a table of bins at most, and those of a table of bins by two whole numbers.
+STEPS, CODES = 1 << 16, 1 << 21
+#: Edges up to which pairs are counted below each of them, which costs less than to look up the bin of each pair.
+MARKS = 17
+#: Products of weights up to which pairs are counted by them, instead of summing a weight for each pair.
+PRODUCTS = 16
+#: Bins of pairs that are gathered before they are counted.
+GATHERED = 1 << 20
 
 
 def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -95,15 +103,83 @@ class Matrix:
             self.mu = np.minimum(np.sqrt(np.arange(n * n + 1)).astype(np.int64), n - 1 if b.mu_one else n)
         else:
             self.rows = b.second + 1 if b.scheme == "spi" else 1
-        plain = b.scheme == "iso" and self.s.table is not None
+        self.marks = self.s.marks.tolist() if b.scheme == "iso" and len(b.s) < MARKS else None
+        plain = b.scheme == "iso" and self.s.table is not None and not self.marks
         self.cells = self.s.top + 1 if plain else (len(b.s) + 1) * self.rows
-        self.number, self.weight, self.plain = np.zeros(self.cells, np.int64), np.zeros(self.cells), plain
+        self.weight, self.plain = np.zeros(self.cells), plain
+        self.parts: dict[float, np.ndarray] = {}  # pairs by the product of their weights, where few products occur
+        self.grouped = False
+        self.codes = self._codes() if b.scheme == "smu" and self.periodic else None
+        self.gathered: dict[float, tuple[np.ndarray, int]] = {}
         self.floats = {t: np.empty((5, PIECE), t) for t in (np.float32, np.float64)}
-        self.ints = np.empty((2, PIECE), np.int64)
+        self.ints, self.near = np.empty((2, PIECE), np.int64), np.empty(PIECE, bool)
         # whole numbers below 2 ** 24, and the floors of their quotients, are exact in single precision
         self.single = (self.s.table is not None and self.s.top <= 1 << 24) and b.scheme != "spi" and (b.n_mu or 1) ** 2 * b.s.high**2 < 1 << 24
 
-    def whole(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> None:
+    def _codes(self) -> np.ndarray | None:
+        """Bins (255 for none) of pairs with whole coordinates by s^2 * span + the part along the line
+        of sight + half of span; the last place stands for all that are farther."""
+        b = self.tile.binning
+        far = math.ceil(b.s.high)
+        self.half, self.span = far, 2 * far + 1
+        top = math.ceil(b.s.high**2)
+        if top * self.span > CODES or len(b.s) * b.second >= 255:
+            return None
+        s2, along = (x.ravel() for x in np.divmod(np.arange(top * self.span), self.span))
+        at, found = bins_of(s2.astype(float), (along - self.half).astype(float) ** 2, b, True)
+        table = np.full(top * self.span + 1, 255, np.uint8)
+        table[at] = found
+        return table
+
+    def exact(self, left: np.ndarray, right: np.ndarray, groups: list[tuple[slice, float]]) -> None:
+        """Adds the pairs of factors (see `factors`), all with all: their product gives s^2, or the codes of pairs."""
+        kind, wide = left.dtype.type, max(1, PIECE // len(left))
+        for at in range(0, len(right), wide):
+            part = right[at : at + wide]
+            shape = len(left), len(part)
+            found = np.matmul(left, part.T, out=self.floats[kind][0][: shape[0] * shape[1]].reshape(shape))
+            if self.codes is None:
+                self._below(found, groups)
+                continue
+            place = self.ints[0][: found.size].reshape(shape)
+            np.copyto(place, found, casting="unsafe")
+            for rows, product in groups:
+                held, n_held = self.gathered.get(product) or (np.empty(GATHERED, np.uint8), 0)
+                one = place[rows]
+                if n_held + one.size > GATHERED:
+                    self._flush(product, held[:n_held])
+                    n_held = 0
+                np.take(self.codes, one, out=held[n_held : n_held + one.size].reshape(one.shape), mode="clip")
+                self.gathered[product] = held, n_held + one.size
+
+    def factors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Factors of points with whole coordinates a, b (rows x, y, z from a common origin), a row for each point; None
+        if their products would not be exact, or if the scheme does not go by them."""
+        times = 1.0 if self.codes is None else float(self.span)
+        most = max(np.abs(a).max(), np.abs(b).max(), 1.0)
+        # terms and their sums stay below 2 ** 24, or 2 ** 53: 3 (|a| + |b|)^2 times the span, and the part along
+        largest = 12 * most * most * times + 2 * most + times
+        if (not self.marks and self.codes is None) or largest >= 1 << 53:
+            return None
+        kind = np.float32 if largest < 1 << 24 and (self.codes is not None or self.single) else np.float64
+        more = (a[2] + self.half, -b[2]) if self.codes is not None else (0.0, 0.0)
+        left = np.stack([*(a * (-2.0 * times)), (a * a).sum(axis=0) * times + more[0], np.ones(a.shape[1])], axis=1)
+        right = np.stack([*b, np.ones(b.shape[1]), (b * b).sum(axis=0) * times + more[1]], axis=1)
+        return left.astype(kind), right.astype(kind)
+
+    def _flush(self, product: float, held: np.ndarray) -> None:
+        """Counts gathered bins, two at a time."""
+        b = self.tile.binning
+        found = np.bincount(held[: len(held) // 2 * 2].view(np.uint16), minlength=1 << 16).reshape(256, 256)
+        found = found.sum(axis=0) + found.sum(axis=1)
+        if len(held) % 2:
+            found[held[-1]] += 1
+        self._part(product).reshape(len(b.s) + 1, self.rows)[: len(b.s), : b.second] += found[: len(b.s) * b.second].reshape(len(b.s), b.second)
+
+    def _part(self, product: float) -> np.ndarray:
+        return self.parts.setdefault(product, np.zeros(self.cells, np.int64))
+
+    def whole(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, groups: list[tuple[slice, float]]) -> None:
         """a, b: rows x, y, z of whole numbers, without a nearer image. Sums of their products are exact in any order, so
         that squares of separations are one product of matrices: |a|^2 + |b|^2 - 2 ab."""
         origin = a.min(axis=1, keepdims=True)
@@ -144,12 +220,12 @@ class Matrix:
                 np.subtract(p[2][:, None], q[2][None, part], out=u)
                 np.multiply(u, u, out=u)
                 np.subtract(s2, u, out=s2)
-            self._binned(s2, along, u, wa, wb[part], shape)
+            self._binned(s2, along, u, wa, wb[part], shape, groups)
 
     def _room(self, n: int, m: int, kind: type) -> tuple:
         return *(f[: n * m].reshape(n, m) for f in self.floats[kind][:4]), (n, m)
 
-    def add(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, fold: tuple[bool, ...]) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, fold: tuple[bool, ...], groups: list[tuple[slice, float]]) -> None:
         """a, b: rows x, y, z and, where there is no box, the square of the distance from the origin; fold: axes on which
         the nearest image may be another one."""
         wide = PIECE // len(wa)
@@ -163,10 +239,14 @@ class Matrix:
                 along = self._sighted(one, two, s2, u, v, x)
             if self.scheme == "smu":
                 along = np.multiply(along, float(self.tile.binning.n_mu**2), out=x)
-            self._binned(s2, along, v, wa, wb[part], shape)
-
-    def _binned(self, s2: np.ndarray, along: np.ndarray | None, u: np.ndarray, wa: np.ndarray, wb: np.ndarray, shape: tuple[int, int]) -> None:
-        """Adds pairs; along: for smu times the square of the number of mu bins."""
+            self._binned(s2, along, v, wa, wb[part], shape, groups)
+
+    def _binned(self, s2: np.ndarray, along: np.ndarray | None, u: np.ndarray, wa: np.ndarray, wb: np.ndarray, shape: tuple[int, int], groups: list[tuple[slice, float]]) -> None:
+        """Adds pairs; along: for smu times the square of the number of mu bins; groups: rows and the product of the weights
+        of their pairs, if there are few products."""
+        if self.marks and (self.grouped or not self.tile.weighted):
+            self._below(s2, groups)
+            return
         first, second = (i[: s2.size].reshape(shape) for i in self.ints)
         if self.plain:
             at = self.s.step(s2, first)
@@ -188,13 +268,23 @@ class Matrix:
             if self.rows > 1:
                 np.multiply(at, self.rows, out=at)
                 np.add(at, second, out=at)
-        if self.tile.counted:
-            self.number += np.bincount(at.ravel(), minlength=self.cells)
-        if self.tile.weighted:
+        if self.tile.counted or self.grouped:
+            for rows, product in groups:
+                self._part(product)[...] += np.bincount(at[rows].ravel(), minlength=self.cells)
+        if self.tile.weighted and not self.grouped:
             w = self.floats[np.float64][4][: s2.size].reshape(shape)
             np.multiply(wa[:, None], wb[None, :], out=w)
             self.weight += np.bincount(at.ravel(), w.ravel(), self.cells)
 
+    def _below(self, s2: np.ndarray, groups: list[tuple[slice, float]]) -> None:
+        """Adds pairs by counting those below each edge."""
+        near, below = self.near[: s2.size].reshape(s2.shape), []
+        for mark in self.marks:
+            np.less(s2, mark, out=near)
+            below.append([np.count_nonzero(near[rows]) for rows, _ in groups])
+        for (_, product), found in zip(groups, np.diff(np.array(below), axis=0).T, strict=True):
+            self._part(product)[:-1] += found
+
     def _straight(self, a, b, fold, s2, u) -> np.ndarray | None:
         for axis in range(3):
             np.subtract(a[axis], b[axis], out=u)
@@ -241,8 +331,15 @@ class Matrix:
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         """By s_idx * bins of the second kind + j_idx."""
         b = self.tile.binning
+        for product, (held, n) in self.gathered.items():
+            self._flush(product, held[:n])
+        self.gathered.clear()
+        number, weight = np.zeros(self.cells, np.int64), self.weight
+        for product, found in self.parts.items():
+            number = number + found if self.tile.counted else number
+            weight = weight + product * found if self.grouped else weight
         out = []
-        for found in (self.number, self.weight):
+        for found in (number, weight):
             if self.plain:
                 held = np.zeros(len(b.s) + 1, found.dtype)
                 np.add.at(held, self.s.table, found)
@@ -283,16 +380,114 @@ def candidates(a_cells: np.ndarray, b_cells: np.ndarray, tile: Tile) -> Iterator
                 yield np.repeat(place[piece], size[piece]), runs(start[piece], size[piece]), o == (0, 0, 0)
 
 
+def _columns(offsets: np.ndarray) -> np.ndarray:
+    """Steps (x, y, least z, greatest z) that stand for the given ones, neighbours in z taken together."""
+    by = offsets[np.lexsort(offsets.T[::-1])]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(by[:, :2], axis=0) != 0).any(axis=1) | (np.diff(by[:, 2]) != 1)]))
+    return np.concatenate([by[new], by[np.append(new[1:], len(by)) - 1][:, 2:]], axis=1)
+
+
+def exact_matrices(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tile: Tile, total: Matrix) -> np.ndarray | None:
+    """What `matrices` does, for whole coordinates that lie so close together that in a box the image of a partner that is
+    nearest to the middle of the points of a is nearest to each of them; None if they do not. The factors of all points
+    are made once, and a cell's partners are runs of them."""
+    offsets = np.array(tile.offsets)
+    if not (tile.binning.scheme == "iso" or (tile.sides is not None and total.codes is not None)):
+        return None
+    if any((p != np.floor(p)).any() for p in (a["place"], b["place"])) or any(float(x) != int(x) for x in tile.sides or ()):
+        return None
+    low, high = a["place"].min(axis=1), a["place"].max(axis=1)
+    middle = np.floor((low + high) / 2)
+    place_a, place_b, cell_b = a["place"] - middle[:, None], b["place"] - middle[:, None], b["cell"].astype(np.int64)
+    if tile.sides is not None:
+        sides = np.array(tile.sides)
+        if ((high - low) / 2 + tile.binning.s.high + 2 >= sides / 2).any() or (2 * np.abs(offsets).max(axis=0) + 1 > np.array(tile.cells)).any():
+            return None
+        images = (place_b < -sides[:, None] / 2).astype(np.int64) - (place_b >= sides[:, None] / 2)
+        place_b, cell_b = place_b + images * sides[:, None], cell_b + images.T * np.array(tile.cells)
+    made = total.factors(place_a, place_b)
+    if made is None:
+        return None
+    w_a, class_a = np.unique(a["w"], return_inverse=True) if tile.weighted else (np.ones(1), np.zeros(len(a["id"]), int))
+    w_b, class_b = np.unique(b["w"], return_inverse=True) if tile.weighted else (np.ones(1), np.zeros(len(b["id"]), int))
+    if len(w_a) * len(w_b) > PRODUCTS or not (np.isfinite(w_a).all() and np.isfinite(w_b).all()):
+        return None
+    total.grouped = tile.weighted
+    own, of = np.unique(a["cell"].astype(np.int64), axis=0, return_inverse=True)
+    by = np.lexsort((class_a, of.ravel()))
+    left, class_a = made[0][by], class_a[by]
+    n_a = np.bincount(of.ravel(), minlength=len(own))
+    first_a = np.cumsum(n_a) - n_a
+    low, high = cell_b.min(axis=0), cell_b.max(axis=0)
+    extent = high - low + 1
+    code = ((cell_b[:, 0] - low[0]) * extent[1] + cell_b[:, 1] - low[1]) * extent[2] + cell_b[:, 2] - low[2]
+    steps, kinds = _columns(offsets), []
+    for k, w in enumerate(w_b):
+        mine = np.flatnonzero(class_b == k)
+        mine = mine[np.argsort(code[mine], kind="stable")]
+        kinds.append((float(w), made[1][mine], place_b[:, mine], code[mine]))
+    enough = np.zeros(len(own), bool)
+    slab = max(1, (1 << 20) // len(steps))
+    # points farther from the middle of a cell's points than the reach and the farthest of those have no pairs with them
+    far = tile.binning.s.high + 1e-6
+    for begin in range(0, len(own), slab):
+        here = own[begin : begin + slab, None, :]
+        at = [here[:, :, i] + steps[None, :, i] for i in range(2)]
+        least, most = (np.clip(here[:, :, 2] + steps[None, :, i], low[2] - 1, high[2] + 1) for i in (2, 3))
+        there = (at[0] >= low[0]) & (at[0] <= high[0]) & (at[1] >= low[1]) & (at[1] <= high[1]) & (most >= low[2]) & (least <= high[2])
+        column = ((at[0] - low[0]) * extent[1] + at[1] - low[1]) * extent[2]
+        least, most = np.maximum(least, low[2]) - low[2], np.minimum(most, high[2]) - low[2]
+        spans = []
+        for _, _, _, codes in kinds:
+            start = np.searchsorted(codes, np.where(there, column + least, 0))
+            spans.append((start, np.where(there, np.searchsorted(codes, np.where(there, column + most, 0), "right") - start, 0)))
+        number = n_a[begin : begin + slab]
+        for i in np.flatnonzero(number * sum(n_b.sum(axis=1) for _, n_b in spans) >= MATRIX):
+            enough[begin + i] = True
+            for first in range(first_a[begin + i], first_a[begin + i] + number[i], 256):
+                rows = slice(first, min(first + 256, first_a[begin + i] + number[i]))
+                points, classes = place_a[:, by[rows]], class_a[rows]
+                centre = (points.min(axis=1) + points.max(axis=1)) / 2
+                away = points - centre[:, None]
+                within = (far + np.sqrt((away * away).sum(axis=0).max())) ** 2
+                cuts = [0, *(np.flatnonzero(np.diff(classes)) + 1), len(classes)]
+                for (w, right, place, _), (start, n_b) in zip(kinds, spans, strict=True):
+                    some = n_b[i] > 0
+                    partners = runs(start[i][some], n_b[i][some])
+                    partners = partners[_near(place, partners, centre, within)]
+                    if len(partners):
+                        total.exact(left[rows], right.take(partners, axis=0), [(slice(*c), float(w_a[classes[c[0]]]) * w) for c in itertools.pairwise(cuts)])
+    done = np.zeros(len(by), bool)
+    done[by] = np.repeat(enough, n_a)
+    return done
+
+
+def _near(place: np.ndarray, of: np.ndarray, centre: np.ndarray, within: float) -> np.ndarray:
+    """Which points lie so near that the square of the distance to the centre is at most `within`."""
+    total = None
+    for axis in range(3):
+        gap = place[axis].take(of)
+        gap -= centre[axis]
+        gap *= gap
+        total = gap if total is None else np.add(total, gap, out=total)
+    return np.flatnonzero(total <= within)
+
+
 def matrices(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tile: Tile, total: Matrix) -> np.ndarray:
     """Adds the pairs of all cells with partners enough, each with all the partners that it can reach, and returns which
     points of a have been dealt with. b is sorted by cells; no pair may depend on the order of ids."""
+    if (done := exact_matrices(a, b, tile, total)) is not None:
+        return done
     offsets = np.array(tile.offsets)
     low = b["cell"].min(axis=0)
     extent = b["cell"].max(axis=0) - low + 1
     code = lambda c: ((c[..., 0] - low[0]) * extent[1] + c[..., 1] - low[1]) * extent[2] + c[..., 2] - low[2]
     b_code = code(b["cell"].astype(np.int64))
     own, of = np.unique(a["cell"], axis=0, return_inverse=True)
-    by = np.argsort(of.ravel(), kind="stable")
+    # where few products of weights occur, the rows of a matrix are in order of their weights
+    (w_a, class_a), (w_b, class_b) = (np.unique(x["w"], return_inverse=True) if tile.weighted else (np.ones(1), None) for x in (a, b))
+    total.grouped = tile.weighted and len(w_a) * len(w_b) <= PRODUCTS and bool(np.isfinite(w_a).all() and np.isfinite(w_b).all())
+    by = np.lexsort((class_a, of.ravel())) if total.grouped else np.argsort(of.ravel(), kind="stable")
     n_a = np.bincount(of.ravel(), minlength=len(own))
     first_a = np.cumsum(n_a) - n_a
     done = np.zeros(len(of.ravel()), bool)
@@ -343,10 +538,19 @@ def matrices(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tile: Tile, tot
                 others = all_[near]
                 if not len(others):
                     continue
-                if whole:
-                    total.whole(p[:3], np.stack([c[near] for c in moved]), a["w"][rows], b["w"][others])
-                else:
-                    total.add(p, places[1][:, others], a["w"][rows], b["w"][others], fold)
+                spread = np.stack([c[near] for c in moved]) if whole else places[1][:, others]
+                wa, wb = a["w"][rows], b["w"][others]
+                sets = [(spread, wb, 1.0)]
+                if total.grouped:
+                    sets = [(spread, wb, w_b[0])] if len(w_b) == 1 else [(spread[:, of_w], wb[of_w], w) for k, w in enumerate(w_b) if (of_w := class_b[others] == k).any()]
+                starts = np.flatnonzero(np.diff(wa)) + 1 if total.grouped else []
+                cuts = [slice(*x) for x in itertools.pairwise([0, *starts, len(rows)])]
+                for q, wq, w in sets:
+                    groups = [(cut, float(wa[cut.start] * w) if total.grouped else 1.0) for cut in cuts]
+                    if whole:
+                        total.whole(p[:3], q, wa, wq, groups)
+                    else:
+                        total.add(p, q, wa, wq, fold, groups)
     return done
 
 

@@ -237,14 +237,16 @@ def pair_sums(left: DataFrame, right: DataFrame | None, binning: Binning, box: B
     coarse = Grid.of(far, box, 1)
     names = ["c0", "c1", "c2"]
 
-    def counted(df: DataFrame, grid: Grid) -> DataFrame:
+    def occupied(df: DataFrame, grid: Grid) -> DataFrame:
         return df.select(*[c.alias(n) for n, c in zip(names, grid.cell((F.col("x"), F.col("y"), F.col("z"))), strict=True)]).groupBy(*names).agg(F.count("*").alias("n"))
 
-    cells = counted(left, coarse).persist()
-    others = cells if auto else counted(right, coarse).persist()
+    cells = occupied(left, coarse).persist()
+    others = cells if auto else occupied(right, coarse).persist()
     try:
         n, crowd = _crowding(cells)
-        refine = max(1, min(4, round((max(crowd, _crowding(others)[1]) / CELL_POINTS) ** (1 / 3))))
+        # the fastest comparison of whole coordinates (kernel.exact_matrices) wants more points in a cell
+        wanted = CELL_POINTS * (2 if binning.scheme == "iso" or (box and binning.scheme == "smu") else 1)
+        refine = max(1, min(4, round((max(crowd, _crowding(others)[1]) / wanted) ** (1 / 3))))
         # a block's partners lie in a shell around it, so larger blocks have fewer copies of them: where there are many
         # points, blocks are larger, and still many enough for the machines
         held = max(BLOCK_POINTS, min(8 * BLOCK_POINTS, n / 64))
