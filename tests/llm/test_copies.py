@@ -176,6 +176,31 @@ def test_prefix_grams():
     assert n > 1000
 
 
+def test_rare_words_part_families(spark):
+    """Texts of one template: only few pairs of them share a rare word, and no link is lost."""
+    r, out = random.Random(12), []
+    template = words(3, 300).split()
+    for i in range(40):  # a family
+        copy = [*template, *words(4, 100).split()]
+        copy[300 + 2 * i : 302 + 2 * i] = [f"own{i}", f"own{i}"]
+        out.append(copy)
+    for i in range(40):  # and texts that have the template and an end of their own, some of them in pairs
+        out.append([*template, *words(50 + i // 2 if i < 10 else 900 + i, 100).split()])
+        out[-1][r.randrange(300)] = f"changed{i}"
+    texts = [" ".join(x) for x in out]
+    pairs, seq = linked(texts)
+    stage = common.Staging(spark)
+    rows = [(i, 0 if i < 40 else i, len(x), t) for i, (x, t) in enumerate(zip(seq, texts, strict=True))]
+    df = spark.createDataFrame(rows, "key long, root long, n long, text string")
+    placed = minhash._split(stage, df.select("key", "root"), df.select("key", "text", "n"), 0.8)
+    met = {(x.a, x.b) for x in minhash._across(stage, placed, 0.8).collect()}
+    stage.close()
+    across = {(i, j) for i, j in pairs if rows[i][1] != rows[j][1]}
+    assert len(across) >= 5 and across <= met and len(met) < 600  # of 2380 pairs in all
+    got = near_ids(spark, texts)
+    assert [(i, j) for i, j in pairs if got[i] != got[j]] == []
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(150), r.randrange(150)) for _ in range(110)] + [(1000, i) for i in range(1001, 1100)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7)]
