@@ -23,6 +23,8 @@ _TOKEN = re.compile(r"[^\W_]+")
 MAX_LABELLED = 5_000
 #: Terms in more than one of COMMON examples are held as rows of weights, at most ROWS of them.
 COMMON, ROWS = 16, 512
+#: Texts whose products with these rows are taken at once; always so many, so that a text's do not depend on the others.
+TOGETHER = 64
 #: A word's IDF counts in full where its counts by label have a log-likelihood ratio well above TELLING (chance words
 #: of some hundred thousand stay below), and to the share FLOOR where they do not differ.
 TELLING, FLOOR = 14.0, 0.03
@@ -72,49 +74,63 @@ class BlockMaxIndex:
         ids, weights, of = ids[~dense], weights[~dense], of[~dense]
         by = np.lexsort((of, ids))
         terms = ids[by]
-        self.example, self.weights = of[by].astype(np.int32), weights[by]
+        self.example, self.weights = of[by], weights[by]
         block = self.example // width
         first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])])) if len(by) else np.zeros(0, np.int64)
         self.blocks = -(-self.n // width)
-        self.start = np.append(first, len(by))
+        self.start, self.long = first, np.diff(np.append(first, len(by)))
         self.block, self.most = block[first], np.maximum.reduceat(self.weights, first) if len(by) else np.zeros(0)
         self.term_start = np.searchsorted(terms[first], np.arange(size + 1))
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+    def common_parts(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The common terms' part of each query's product with every example, and its largest in each block."""
+        edges = np.arange(0, self.n, self.width)
+        for at in range(0, len(queries), TOGETHER):
+            some, held = queries[at : at + TOGETHER], np.zeros((TOGETHER, len(self.rows)))
+            for i, (ids, weights) in enumerate(some):
+                row = self.row[ids]
+                held[i, row[row >= 0]] = weights[row >= 0]
+            part = held @ self.rows
+            most = np.maximum.reduceat(part, edges, axis=1) if self.n else np.zeros((TOGETHER, 0))
+            yield from zip(part[: len(some)], most, strict=False)
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[float, int]]:
         """The k examples of largest product above 0 with a sparse vector, exactly; ties by the lower number.
 
         Blocks are opened by descending bound (the largest part of the common terms, and the sum of query weight times
-        block maximum of the others), twice as many at each step, until no bound reaches the k-th product found.
+        block maximum of the others), four times as many at each step, until no bound reaches the k-th product found.
+        common: the query's common_parts, if they are at hand.
         """
-        row = self.row[ids]
-        held = row >= 0
-        part = weights[held] @ self.rows[row[held]]
+        part, most = next(self.common_parts([(ids, weights)])) if common is None else common
+        held = self.row[ids] >= 0
         ids, weights = ids[~held], weights[~held]
         begin = self.term_start[ids]
         size = self.term_start[ids + 1] - begin
         at, w = _runs(begin, size), np.repeat(weights, size)
         block = self.block[at]
-        bounds = np.bincount(block, self.most[at] * w, self.blocks)
-        if self.n:
-            bounds = bounds + np.maximum.reduceat(part, np.arange(0, self.n, self.width))
+        bounds = np.bincount(block, self.most[at] * w, self.blocks) + most
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        scores, numbers, step = np.zeros(0), np.zeros(0, np.int64), 8
+        scores, numbers, step = np.zeros(0), np.zeros(0, np.int64), 10
         while len(order) and (len(scores) < k or bounds[order[0]] >= scores[-1] - 1e-12):
             # of the blocks that are next, those whose bound is still high enough
+            least = scores[-1] - 1e-12 if len(scores) == k else 0.0
+            some, order = order[:step], order[step:]
+            some = some[bounds[some] >= least]
+            step *= 4
             opened = np.zeros(self.blocks, bool)
-            opened[order[:step]] = True
-            if len(scores) == k:
-                opened &= bounds >= scores[-1] - 1e-12
-            order = order[step:]
-            step *= 2
-            here = opened[block]
-            begin, long = self.start[at[here]], self.start[at[here] + 1] - self.start[at[here]]
-            postings = _runs(begin, long)
-            found = np.bincount(self.example[postings], self.weights[postings] * np.repeat(w[here], long), self.n)
-            found = found + np.where(np.repeat(opened, self.width)[: self.n], part, 0.0)
-            hit = np.flatnonzero(found > (scores[-1] - 1e-12 if len(scores) == k else 0))
+            opened[some] = True
+            here = np.flatnonzero(opened[block])
+            stretches = at[here]
+            long = self.long[stretches]
+            postings = _runs(self.start[stretches], long)
+            found = np.bincount(self.example[postings], self.weights[postings] * np.repeat(w[here], long), self.n) + part
+            hit = np.flatnonzero(found > least)
+            hit = hit[opened[hit // self.width]]
             scores, numbers = np.concatenate([scores, found[hit]]), np.concatenate([numbers, hit])
+            if len(scores) > 4 * k:  # those that tie with the k-th stay
+                top = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+                scores, numbers = scores[top], numbers[top]
             best = np.lexsort((numbers, -scores))[:k]
             scores, numbers = scores[best], numbers[best]
         return list(zip(scores.tolist(), numbers.tolist(), strict=True))
@@ -153,9 +169,14 @@ class Model:
         length = math.sqrt(w @ w + rest @ rest)
         return w / length if length > 0 else w
 
-    def near(self, text: str | None) -> list[tuple[float, int]]:
-        terms, counts, others = self.counts(text)
-        return self.index.nearest(terms, self.vector(terms, counts, others), self.k) if len(terms) and self.index else []
+    def near(self, texts: list[str | None]) -> Iterator[list[tuple[float, int]]]:
+        """The nearest examples of each text."""
+        for at in range(0, len(texts), TOGETHER):
+            counted = [self.counts(t) for t in texts[at : at + TOGETHER]]
+            found = [(c[0], self.vector(*c)) for c in counted]
+            parts = self.index.common_parts(found) if self.index else found
+            for (terms, weights), common in zip(found, parts, strict=True):
+                yield self.index.nearest(terms, weights, self.k, common) if len(terms) and self.index else []
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, each weighted by its cosine to the fourth, pulled to the prior."""
@@ -169,9 +190,9 @@ class Model:
         x = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * x + self.offset))))
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.near(text)
-        return (self.calibrated(self.vote(near)), near[:3]) if near else (self.bare, [])
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """The score of each text, and its three nearest examples."""
+        return [(self.calibrated(self.vote(near)), near[:3]) if near else (self.bare, []) for near in self.near(texts)]
 
 
 def _platt(shares: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -342,7 +363,9 @@ def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str
         once = counts[0] if words and words[0] == "" else np.zeros(4, np.int64)
         if not 0 < once[0] < once[1]:
             return Model({}, np.zeros(0), 0.0)
-        terms, counts = {w: i for i, w in enumerate(words[1:])}, counts[1:]
+        words, counts = words[1:], counts[1:]
+        # entered by how often they occur: what most look-ups need lies together in memory, here and in the workers
+        terms = {words[i]: i for i in np.argsort(-counts[:, 1], kind="stable").tolist()}
         n, rows = _frequencies(df, text_col, terms)
         vectors = _vectors(sample, terms)
         idf = np.log((rows + 1) / (n + 1)) + 1
@@ -355,7 +378,7 @@ def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str
             def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = shared.value
                 for batch in batches:
-                    near = [m.near(t.as_py()) for t in batch.column("text")]
+                    near = list(m.near(batch.column("text").to_pylist()))
                     yield pa.RecordBatch.from_arrays([pa.array([m.vote(x) if x else None for x in near], pa.float64()), batch.column("label").cast(pa.int32())], ["share", "label"])
 
             held = sample.where("last").select("text", "label").mapInArrow(votes, "share double, label int").where("share is not null").collect()
@@ -381,7 +404,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [m.score(t.as_py()) for t in batch.column("text")]
+            got = m.scores(batch.column("text").to_pylist())
             evidence = pa.array([[{"id": m.names[i], "cosine": c} for c, i in near] for _, near in got], pa.list_(pa.struct([("id", pa.string()), ("cosine", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([s for s, _ in got], pa.float64()), evidence], ["row", "score", "evidence"])
 
