@@ -1,8 +1,9 @@
 """How the operators do their work, where results alone would not tell."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import suffixes
+from orrery.llm import common, minhash, suffixes
 
 
 def test_repeats_meet_their_texts_by_one_plan(spark, monkeypatch):
@@ -18,3 +19,23 @@ def test_repeats_meet_their_texts_by_one_plan(spark, monkeypatch):
     assert sorted((r["first"], r["start"], r["words"]) for r in found) == [(n, 20, 60) for n in range(12)]
     assert len({r["keeper"] for r in found}) == 1 and sum(r["removed"] for r in found) == 11
     assert not any("places" in right or "keeper" in right or "least" in right for _, right in joins)
+
+
+def test_buckets_are_told_by_one_exchange(spark, monkeypatch):
+    """No row is looked up by its bucket: what a bucket holds is told where its rows are dealt to, copies of a row once."""
+    monkeypatch.setattr(minhash, "join_small", lambda left, right, on, *a, **more: pytest.fail("joined by bucket") if isinstance(on, str) and on == "bucket" else common.join_small(left, right, on, *a, **more))
+    rows = [(b, k, 10, b) for b in range(4) for k in range(b * 3, b * 3 + 2 + 10 * b)]
+    class_of = {k: 0 if k < 6 else k // 20 * 20 for _, k, _, _ in rows}
+    stage = common.Staging(spark)
+    try:
+        members = spark.createDataFrame(rows, "bucket long, key long, n long, lead long")
+        roots = spark.createDataFrame([(k, r) for k, r in class_of.items() if r != k], "node long, root long")
+        opened = minhash._open(stage, members, roots)
+        keys = {b: [k for c, k, _, _ in rows if c == b] for b in range(4)}
+        sizes = {b: len(ks) for b, ks in keys.items() if len({class_of[k] for k in ks}) > 1}
+        assert sorted(map(tuple, opened.collect())) == sorted((b, k, n, class_of[k], sizes[b]) for b, k, n, _ in rows if b in sizes)
+        assert 0 < len(sizes) < 4
+        true = {(a, k) for b in sizes for a in keys[b] for k in keys[b] if a < k and class_of[a] != class_of[k]}
+        assert {(r["a"], r["b"]) for r in minhash._across(stage, opened.drop("size"), 0.8).collect()} == true
+    finally:
+        stage.close()
