@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, delete_at_exit, packed, shared_dir, write_bytes
+from orrery.llm.common import Staging, delete_at_exit, lean, packed, shared_dir, write_bytes
 
 #: Words in the lexicon at most; its file is a few MB, whatever the corpus.
 MAX_WORDS = 50_000
@@ -316,7 +316,7 @@ def frequent_words(df: DataFrame, content, text_col: str, most: int = MAX_WORDS)
 
     stage = Staging(df.sparkSession)
     try:
-        counted = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(lean(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
         counted = stage.table(counted.where("n > 1"))
         # the frequencies that few words have come one by one, the others as powers of two, so the list is short
         level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) * F.floor(F.pow(2.0, F.floor(F.log2(F.col("n") / 1024.0)))))
@@ -374,7 +374,7 @@ def encode(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[
                 yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["row", "ids"])
 
     rows = _rows(df, text_col, keep)
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
 def _joined(lists: pa.Array, table: pa.Array) -> pa.Array:
@@ -408,7 +408,7 @@ def decode(df: DataFrame, tokenizer: str, *, ids_col: str = "ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _joined(batch.column(ids_col), table)], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, decoded string")
+    return df.mapInArrow(lean(run), f"{fields}, decoded string")
 
 
 def round_trip(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
@@ -425,7 +425,7 @@ def round_trip(df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: l
                 yield pa.RecordBatch.from_arrays([batch.column("row"), lists, _joined(lists, table)], ["row", "ids", "decoded"])
 
     rows = _rows(df, text_col, keep)
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+    return rows.mapInArrow(lean(run), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

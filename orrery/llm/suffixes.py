@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, WordHashes, cut, different_texts, join_small, mix64, packed, rolling
+from orrery.llm.common import Staging, WordHashes, cut, different_texts, join_small, lean, mix64, packed, rolling
 
 #: Words of the shortest repeat, and of the prefix by which suffixes are ordered and sampled.
 MIN_WORDS, PREFIX = 50, 16
@@ -123,7 +123,7 @@ def sorted_runs(stage: Staging, suffixes: DataFrame, prefix: list[str], place: s
         if kept is not None:
             yield runs(kept, True)[0]
 
-    found = stage.table(ordered.mapInArrow(scan, ", ".join(f"{n} {t}" for n, t in [*kinds, ("keeper", "bigint"), ("border", "boolean")])))
+    found = stage.table(ordered.mapInArrow(lean(scan), ", ".join(f"{n} {t}" for n, t in [*kinds, ("keeper", "bigint"), ("border", "boolean")])))
     ends = found.where("border").groupBy(*prefix).agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").drop("most").collect()
     # at most two prefixes per range: every task holds them all, and each row is looked up once
     keepers = spark.sparkContext.broadcast({tuple(r[c] for c in prefix): r["least"] for r in ends})
@@ -135,7 +135,7 @@ def sorted_runs(stage: Staging, suffixes: DataFrame, prefix: list[str], place: s
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keeper, pa.int64())], [*names, "keeper"])
             yield out.filter(out.column("keeper").is_valid())
 
-    settled = found.where("border").select(*names).mapInArrow(settle, ", ".join(f"{n} {t}" for n, t in [*kinds, ("keeper", "bigint")]))
+    settled = found.where("border").select(*names).mapInArrow(lean(settle), ", ".join(f"{n} {t}" for n, t in [*kinds, ("keeper", "bigint")]))
     return found.where("not border").select(*names, "keeper").union(settled)
 
 
@@ -208,19 +208,19 @@ def repeats(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", mi
     try:
         found, key_of = different_texts(stage, rows)
         keyed = rows.withColumn("key", key_of("text"))
-        suffixes = stage.table(keyed.select("key", "text").mapInArrow(sample, "prefix long, key long, at int"))
+        suffixes = stage.table(keyed.select("key", "text").mapInArrow(lean(sample), "prefix long, key long, at int"))
         hits = stage.table(sorted_runs(stage, suffixes, ["prefix"], "at").groupBy("key").agg(F.collect_set("at").alias("places")))
         stage.drop(suffixes)
         chosen = stage.table(hits.join(found, "key").select(F.col("key").alias("k"), "first", "places"))
         # nearly every text is chosen, so at any size texts and places meet by one exchange: one plan, whose disk grows with the input
         wanted = keyed.join(chosen.hint("merge"), (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("first")))
-        windows = stage.table(wanted.select("key", "text", "places").mapInArrow(around, "window long, check long, key long, start int"))
+        windows = stage.table(wanted.select("key", "text", "places").mapInArrow(lean(around), "window long, check long, key long, start int"))
         copied = found.where("first < last").select(F.col("key").alias("c"), F.col("first").alias("f"))
         lengths = join_small(keyed, stage.table(copied), (F.col("key") == F.col("c")) & F.col("id").eqNullSafe(F.col("f"))).groupBy("key").agg(F.max(F.regexp_count("text", F.lit(_JAVA_WORD))).alias("n_words"))
         texts = stage.table(found.select("key", "first").join(lengths, "key", "left").select("key", "first", F.col("n_words").isNotNull().alias("copied"), F.coalesce("n_words", F.lit(0)).alias("n_words")))
         matches = sorted_runs(stage, windows, ["window", "check"], "start")
         found = matches.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "keeper"))).alias("found"))
-        spans = found.mapInArrow(joined, "key long, spans array<struct<start:int,words:int,keeper:bigint,removed:boolean>>")
+        spans = found.mapInArrow(lean(joined), "key long, spans array<struct<start:int,words:int,keeper:bigint,removed:boolean>>")
         out = texts.join(spans, "key", "left").where(F.col("spans").isNotNull() | (F.col("copied") & (F.col("n_words") >= min_words)))
         return cut(out.select("key", "first", "copied", "n_words", F.coalesce("spans", F.array().cast("array<struct<start:int,words:int,keeper:bigint,removed:boolean>>")).alias("spans"))), key_of
     finally:
@@ -272,7 +272,7 @@ def dedup(df: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", min_
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(lost, pa.int32())], ["row", "clean_text", "n_removed"])
 
     kind = ready.schema["row"].dataType.simpleString()
-    return ready.mapInArrow(run, f"row {kind}, clean_text string, n_removed int")
+    return ready.mapInArrow(lean(run), f"row {kind}, clean_text string, n_removed int")
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

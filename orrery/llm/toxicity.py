@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Staging, packed
+from orrery.llm.common import Staging, lean, packed
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -268,11 +268,11 @@ def _words(sample: DataFrame) -> tuple[list[str], np.ndarray]:
         yield flush()
 
     names = ["positive", "total", "first_positive", "first_total"]
-    kept = sample.select("text", "label", "last").mapInArrow(sketches, "text string, label int, last boolean, s0 string, s1 string")
+    kept = sample.select("text", "label", "last").mapInArrow(lean(sketches), "text string, label int, last boolean, s0 string, s1 string")
     for s in ("s0", "s1"):
         kept = kept.groupBy(s).agg(F.max(F.struct("label", "text", "last", "s1")).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in ("text", "label", "last", "s1")])
     every = kept.select("text", "label", "last", F.lit(1).alias("once")).union(sample.select("text", "label", "last", F.lit(0)))
-    counted = every.mapInArrow(words, "word string, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    counted = every.mapInArrow(lean(words), "word string, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     by = np.argsort(np.array(counted.column("word").to_pylist(), object), kind="stable") if counted.num_rows else np.zeros(0, np.int64)
     counted = counted.take(pa.array(by))
     return counted.column("word").to_pylist(), np.stack([counted.column(n).to_numpy() for n in names], axis=1)
@@ -294,7 +294,7 @@ def _frequencies(df: DataFrame, text_col: str, terms: dict[str, int]) -> tuple[n
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], ["term", "n"])
 
     every = df.select(F.col(f"`{text_col}`").alias("text"))
-    found = every.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = every.mapInArrow(lean(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(terms) + 1, np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     shared.destroy()
@@ -312,7 +312,7 @@ def _vectors(sample: DataFrame, terms: dict[str, int]) -> pa.Table:
             found = [m.counts(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)), batch.column("label").cast(pa.int32()), batch.column("last"), batch.column("id")], ["terms", "counts", "label", "last", "id"])
 
-    vectors = sample.select("text", "label", "last", F.col("id").cast("string").alias("id")).mapInArrow(examples, "terms array<int>, counts array<int>, label int, last boolean, id string")
+    vectors = sample.select("text", "label", "last", F.col("id").cast("string").alias("id")).mapInArrow(lean(examples), "terms array<int>, counts array<int>, label int, last boolean, id string")
     first = lambda c: F.when(~F.col("last"), c)
     sums = [F.sum("label").alias("a"), F.count("*").alias("n"), F.min("id").alias("id"), F.coalesce(F.sum(first(F.col("label"))), F.lit(0)).alias("first_a"), F.count(first(F.lit(1))).alias("first_n"), F.min(first(F.col("id"))).alias("first_id")]
     out = vectors.groupBy("terms", "counts").agg(*sums).toArrow().combine_chunks()
@@ -381,7 +381,7 @@ def fit(df: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str
                     near = list(m.near(batch.column("text").to_pylist()))
                     yield pa.RecordBatch.from_arrays([pa.array([m.vote(x) if x else None for x in near], pa.float64()), batch.column("label").cast(pa.int32())], ["share", "label"])
 
-            held = sample.where("last").select("text", "label").mapInArrow(votes, "share double, label int").where("share is not null").collect()
+            held = sample.where("last").select("text", "label").mapInArrow(lean(votes), "share double, label int").where("share is not null").collect()
             shared.destroy()
         model = _indexed(vectors, "", terms, idf * telling(counts[:, 0], counts[:, 1], once[0], once[1]), n, rows, k)
     finally:
@@ -409,7 +409,7 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([s for s, _ in got], pa.float64()), evidence], ["row", "score", "evidence"])
 
     kind = held.schema["row"].dataType.simpleString()
-    return held.mapInArrow(run, f"row {kind}, score double, evidence array<struct<id:string,cosine:double>>")
+    return held.mapInArrow(lean(run), f"row {kind}, score double, evidence array<struct<id:string,cosine:double>>")
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

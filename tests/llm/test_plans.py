@@ -1,5 +1,7 @@
 """How the operators do their work, where results alone would not tell."""
 
+import numpy as np
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +41,23 @@ def test_buckets_are_told_by_one_exchange(spark, monkeypatch):
         assert {(r["a"], r["b"]) for r in minhash._across(stage, opened.drop("size"), 0.8).collect()} == true
     finally:
         stage.close()
+
+
+def test_workers_give_memory_back():
+    """What a function of mapInArrow has freed is the system's again when the task ends, whether it ended or was stopped."""
+
+    def run(batches):
+        kept = []
+        for n in batches:
+            pieces = [np.ones(8_000) for _ in range(n)]  # 64 KB each
+            kept.append(np.ones(8_000))  # above them, so that they stay with the process
+            del pieces
+            yield psutil.Process().memory_info().rss
+        held.extend(kept)
+
+    for stopped in (False, True):
+        held: list = []
+        tasks = common.lean(run)(iter([3_000, 1]))
+        before = next(tasks)
+        tasks.close() if stopped else list(tasks)
+        assert before - psutil.Process().memory_info().rss > 100e6
